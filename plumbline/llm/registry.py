@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality_rules
+from plumbline.llm import decontamination, quality_rules, secrets
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality_rules.op6_quality_rules}
+    return {
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_decontamination": decontamination.op7_decontamination,
+        "op10_secret_scan": secrets.op10_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE}
+    return {"op6_quality_rules": quality_rules.ORACLE, "op7_decontamination": decontamination.ORACLE}
