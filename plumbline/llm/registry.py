@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, quality_rules, secrets
+from plumbline.llm import decontamination, quality_rules, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_decontamination": decontamination.op7_decontamination,
         "op10_secret_scan": secrets.op10_secret_scan,
