@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, quality_rules, secrets, simhash
+from plumbline.llm import decontamination, packing, quality_rules, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_packing": packing.op2_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_decontamination": decontamination.op7_decontamination,
         "op10_secret_scan": secrets.op10_secret_scan,
