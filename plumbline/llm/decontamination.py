@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.base import broadcast_if, documents, text_of
+from plumbline.llm.base import broadcast_if, documents, stored, text_of
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Sketch hashes or shingles up to which the items' side is broadcast (about 60 MB).
@@ -61,7 +61,7 @@ def item_sketches(shingles: DataFrame, threshold: float) -> DataFrame:
     return shingles.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= length).select("item_id", "hash")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_found, containment) with containment at or over ``threshold``."""
     found = contaminated_texts(docs, items, text=text, item_id=item_id, item_text=item_text, size=size, threshold=threshold)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"))
@@ -70,8 +70,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
 
 def contaminated_texts(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """Pairs (text_hash, item_id, ...) over the distinct texts; copies of a text are judged once."""
-    from plumbline.llm.base import stored
-
     shingles = stored(item_shingles(items, item_id=item_id, text=item_text, size=size))
     total = shingles.count()
     sketches = item_sketches(shingles, threshold).select("item_id", "hash")
@@ -88,7 +86,8 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, *, text: str = "text",
 
     texts = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
     texts = texts.join(candidates.select("text_hash").distinct(), "text_hash", "left_semi")
-    held = texts.select("text_hash", F.explode(_shingle_texts(_words(F.col("text")), size)).alias("shingle"))
+    # the words are a column of their own: inside the lambda they would be split again for every shingle
+    held = texts.select("text_hash", _words(F.col("text")).alias("w")).select("text_hash", F.explode(_shingle_texts(w, size)).alias("shingle"))
     matched = held.join(broadcast_if(shingles.select("item_id", "shingle", "n"), total, BROADCAST_ROWS), "shingle").select("text_hash", "item_id", "shingle", "n").distinct()
     counted = matched.groupBy("text_hash", "item_id").agg(F.count("*").alias("n_found"), F.max("n").alias("n_shingles"))
     return (
@@ -99,6 +98,13 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, *, text: str = "text",
     )
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **how) -> DataFrame:
+    """The documents that contain no item."""
+    found = stored(contaminated_texts(docs, items, text=text, **how).select(F.col("text_hash").alias("_hash")).distinct())
+    rows = docs.withColumn("_hash", F.xxhash64(text_of(text)))
+    return rows.join(broadcast_if(found, found.count(), BROADCAST_ROWS), "_hash", "left_anti").select(*docs.columns)
+
+
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
