@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import BLANKS, text_of, words_of
+from plumbline.llm.base import BLANKS, broadcast_if, documents, stored, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -69,60 +69,51 @@ def line_verdicts(
     )
 
 
-def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, keep: tuple[str, ...] = (), **limits) -> DataFrame:
-    """Statistics, ``base_failed``, ``removed_share`` and ``kept`` of each document.
-
-    ``keep`` names input columns to carry along. ``limits`` are those of
-    ``line_verdicts``.
-    """
-    base = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"),
-        F.xxhash64(text_of(text)).alias("_hash"),
-        text_of(text).alias("_text"),
-        F.struct(*[F.col(c) for c in keep]).alias("_kept") if keep else F.lit(None).cast("int").alias("_kept"),
-    ).withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+def statistics(docs: DataFrame, carried: dict, *, text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The ``carried`` columns (name: Column), host, text_hash and the statistics that need one text only."""
+    base = (
+        docs.select(F.struct(*[c.alias(n) for n, c in carried.items()]).alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("_text"))
+        .withColumn("_words", words_of(F.col("_text")))
+        .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    )
     w = F.col("_words")
     # every 3-word window as (hash, place), sorted: equal windows become neighbours
-    base = base.withColumn("_n", F.size(w)).withColumn(
-        "_windows",
-        F.sort_array(F.when(F.col("_n") >= 3, F.transform(F.slice(w, 1, F.greatest(F.col("_n") - 2, F.lit(1))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:int>>)"))),
-    )
+    windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    base = base.withColumn("_windows", F.sort_array(F.when(F.size(w) >= 3, windows).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:int>>)"))))
     s = F.col("_windows")
     same = lambda x, j: F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False))
     base = base.withColumn("_again", F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"])))
     p = F.col("_again")
     base = base.withColumn("_steps", F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x + F.size(p) * 0, F.lit(3)))))
-    stats = base.select(
-        "doc_id",
-        "_host",
-        "_hash",
-        "_kept",
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.aggregate("_steps", F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
-    ).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+    return base.select(
+        *[F.col("_row")[n].alias(n) for n in carried],
+        F.col("host").alias("_host"),
+        F.col("text_hash").alias("_hash"),
+        F.size("_words").cast("long").alias("_n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("_word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("_n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
+        F.aggregate("_steps", F.lit(0), lambda a, x: a + x).cast("long").alias("_n_repeat_words"),
+    ).withColumn("_base_failed", (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words")))
+
+
+def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, **limits) -> DataFrame:
+    """Statistics, ``base_failed``, ``removed_share`` and ``kept`` of each document. ``limits``: see ``line_verdicts``."""
+    stats = statistics(docs, {"doc_id": F.col(doc_id)}, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent)
     verdicts = line_verdicts(docs, text=text, host=host, **limits).select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "removed_share", "depleted")
     out = stats.join(verdicts, ["_host", "_hash"], "left")
-    return out.select(
-        "doc_id",
-        *[F.col("_kept")[c].alias(c) for c in keep if c != "doc_id"],
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        F.coalesce("removed_share", F.lit(0.0)).alias("removed_share"),
-        (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"),
-    )
+    named = [F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
+    return out.select("doc_id", *named, F.coalesce("removed_share", F.lit(0.0)).alias("removed_share"), (~F.col("_base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"))
 
 
-def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from plumbline.llm.base import documents
+def kept_documents(docs: DataFrame, *, text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, **limits) -> DataFrame:
+    """The documents, all their columns, that the rules keep. Texts move only if the rejected ones are too many to broadcast."""
+    depleted = stored(line_verdicts(docs, text=text, host=host, **limits).filter("depleted").select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash")))
+    rows = statistics(docs, {c: F.col(c) for c in docs.columns}, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent).filter(~F.col("_base_failed"))
+    return rows.join(broadcast_if(depleted, depleted.count(), 1_000_000), ["_host", "_hash"], "left_anti").select(*docs.columns)
 
+
+def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 

@@ -19,10 +19,12 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import documents, stored, text_of
+from plumbline.llm.base import broadcast_if, documents, shared_dir, stored, text_of
 
 RULE_VERSION = "2026-11-a"
 #: Kind, pattern, and which group must have how many characters at least. In the order of the kinds.
@@ -126,23 +128,25 @@ def secret_scan(docs: DataFrame, ledger_path: str, batch: str = "all") -> DataFr
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``found`` (blob, found) replaced; overlapping spans become one mark."""
-    rows = docs.withColumn("_blob", F.sha2(text_of(), 256)).join(found.select(F.col("blob").alias("_blob"), "found").filter(F.size("found") > 0), "_blob", "left")
+    some = stored(found.filter(F.size("found") > 0).select(F.col("blob").alias("_blob"), F.col("found").alias("_found")).dropDuplicates(["_blob"]))
+    rows = docs.withColumn("_blob", F.sha2(text_of(), 256)).join(broadcast_if(some, some.count(), 100_000), "_blob", "left")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     t = F.col("text")
     step = lambda a, x: F.when(
         x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out"))
     ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-    clean = F.aggregate("found", first, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    text = F.when(F.col("found").isNull(), t).otherwise(clean)
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    clean = F.aggregate("_found", first, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    text = F.when(F.col("_found").isNull(), t).otherwise(clean)
+    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
-def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
-    import uuid
+def fresh_ledger(spark: SparkSession) -> str:
+    """A new ledger's folder among the shared ones."""
+    return f"{shared_dir(spark).rstrip('/')}/ledger/{uuid.uuid4().hex}"
 
-    from plumbline.llm.base import shared_dir
 
-    found = secret_scan(documents(spark, sf_dir), f"{shared_dir(spark).rstrip('/')}/ledger/{uuid.uuid4().hex}")
+def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
+    found = secret_scan(documents(spark, sf_dir), fresh_ledger(spark))
     f = F.col("found")
     base = F.filter(f, lambda x: x["kind"] < len(BASE_KINDS))
     counted = lambda k: F.size(F.filter(f, lambda x: x["kind"] == k)).cast("long")
