@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, packing, quality_rules, secrets, simhash
+from plumbline.llm import decontamination, packing, quality_crf, quality_rules, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_token_counts": token_counts.op8_token_counts,
+        "op9_quality_classifier": quality_crf.op9_quality_classifier,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
