@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, licenses, packing, quality_crf, quality_rules, secrets, simhash, token_counts
+from plumbline.llm import decontamination, licenses, lm_scoring, packing, quality_crf, quality_rules, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_packing": packing.op2_packing,
         "op4_license_scan": licenses.op4_license_scan,
+        "op5_lm_scoring": lm_scoring.op5_lm_scoring,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_token_counts": token_counts.op8_token_counts,
