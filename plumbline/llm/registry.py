@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, licenses, lm_scoring, packing, quality_crf, quality_rules, secrets, simhash, token_counts
+from plumbline.llm import decontamination, licenses, lm_scoring, packing, quality_crf, quality_rules, secrets, simhash, substring, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_packing": packing.op2_packing,
+        "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_lm_scoring": lm_scoring.op5_lm_scoring,
         "op6_quality_rules": quality_rules.op6_quality_rules,
