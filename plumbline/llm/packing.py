@@ -47,11 +47,11 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, task, used = tokens.Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, task, used = tokens.encoder(path), TaskContext.get().partitionId(), {}
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"]
         for batch in batches:
             done = 0
-            for texts in tokens.limited(batch.column(1).to_pylist()):
+            for texts in tokens.limited(batch.column(1)):
                 out = []
                 for k, ids in enumerate(encoder.ids(texts), done):
                     ids += END

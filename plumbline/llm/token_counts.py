@@ -46,11 +46,14 @@ def counted(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        encoder = tokens.Encoder(path)
+        encoder = tokens.encoder(path)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            n = [len(ids) // 4 for part in tokens.limited(texts) for ids in encoder.ids(part)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(n, pa.int64()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "n_tokens", "n_chars"])
+            texts = batch.column(len(keep))
+            n, chars = [], []
+            for part in tokens.limited(texts):
+                n += [len(ids) // 4 for ids in encoder.ids(part)]
+                chars += [len(t) for t in part]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(n, pa.int64()), pa.array(chars, pa.int64())], names=[*keep, "n_tokens", "n_chars"])
 
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, n_chars long")
 
