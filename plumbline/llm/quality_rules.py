@@ -107,10 +107,18 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def kept_documents(docs: DataFrame, *, text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, **limits) -> DataFrame:
-    """The documents, all their columns, that the rules keep. Texts move only if the rejected ones are too many to broadcast."""
-    depleted = stored(line_verdicts(docs, text=text, host=host, **limits).filter("depleted").select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash")))
-    rows = statistics(docs, {c: F.col(c) for c in docs.columns}, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent).filter(~F.col("_base_failed"))
-    return rows.join(broadcast_if(depleted, depleted.count(), 1_000_000), ["_host", "_hash"], "left_anti").select(*docs.columns)
+    """The documents, all their columns, that the rules keep.
+
+    The verdicts are written first, as (host, text_hash): a filter on a
+    statistic would be pushed below the arrays it is made of and build them
+    anew for every word. Texts move only if the rejected are too many to broadcast.
+    """
+    key = ["_host", "_hash"]
+    failed = stored(statistics(docs, {"_n": F.lit(1)}, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent).select(*key, "_base_failed"))
+    depleted = line_verdicts(docs, text=text, host=host, **limits).filter("depleted").select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"))
+    rejected = stored(failed.filter("_base_failed").select(*key).union(depleted).distinct())
+    rows = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(text_of(text)))
+    return rows.join(broadcast_if(rejected, rejected.count(), 1_000_000), key, "left_anti").select(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
