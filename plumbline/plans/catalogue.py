@@ -554,11 +554,11 @@ def dead_score(spark, d):
 # --- joins by position
 
 
-@query("SELECT event_id, user_id, symbol FROM (SELECT event_id, user_id, ts, value FROM events) AS a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS symbol FROM events WHERE event_type = 'signup' GROUP BY user_id, ts) AS b USING (user_id, ts)")
+@query("SELECT event_id, user_id, symbol FROM (SELECT event_id, user_id, ts, value FROM events) AS a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS symbol FROM events WHERE event_type = 'signup' GROUP BY user_id, ts) AS b USING (user_id, ts) WHERE symbol IS NOT NULL")
 def symbol_asof(spark, d):
     e = table(spark, d, "events")
     signups = e.filter(F.col("event_type") == "signup").select("user_id", F.col("ts").alias("start"), F.col("event_id").alias("name"))
-    return facts.as_of(e, signups, "user_id", "ts", "start", "name")
+    return facts.as_of(e, signups, "user_id", "ts", "start", "name").filter(F.col("symbol").isNotNull())
 
 
 @query("WITH s AS (SELECT user_id, min(ts) AS low, max(ts) AS high FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT event_id FROM events JOIN s USING (user_id) WHERE event_type = 'purchase' AND ts BETWEEN low AND high")
