@@ -112,8 +112,8 @@ def _examples(rng: random.Random, filler: list[str]) -> list[tuple[str, list[str
                 if k % 3 == 2:
                     w = rng.choices(filler, k=rng.randint(1, 15)) + w + rng.choices(filler, k=rng.randint(0, 15))
                 out.append((family, w))
-            for _ in range(6):  # a few of a notice's words alone are not a notice
-                out.append((UNKNOWN, rng.sample(base, min(len(base), 2)) + rng.choices(filler, k=rng.randint(5, 40))))
+            for _ in range(6 if len(base) > 5 else 0):  # two of a notice's words alone are not a notice
+                out.append((UNKNOWN, rng.sample(base, 2) + rng.choices(filler, k=rng.randint(5, 40))))
     return out
 
 
