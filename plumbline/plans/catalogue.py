@@ -77,7 +77,7 @@ def tdg_churn_factor(spark, d):
 
 
 @query(with_("commits") + ", " + _TDG + """SELECT path, value, CASE WHEN value > 2.5 THEN 'critical' WHEN value > 1.5 THEN 'warning' ELSE 'normal' END AS severity, round(2 * pow(1.8, value), 4) AS hours,
-  round(CASE WHEN churn = 0 THEN 0.8 ELSE 1 END * CASE WHEN coupling = 0 THEN 0.9 ELSE 1 END * CASE WHEN duplication = 0 THEN 0.95 ELSE 1 END, 6) AS confidence FROM tdg JOIN parts USING (path)""")
+  round(CASE WHEN churn = 0 THEN 0.8 ELSE 1 END * CASE WHEN coupling = 0 THEN 0.9 ELSE 1 END * CASE WHEN duplication = 0 THEN 0.95 ELSE 1 END, 6)::DOUBLE AS confidence FROM tdg JOIN parts USING (path)""")
 def tdg_score(spark, d):
     g = _gradient(spark, d)
     return g.select("path", "value", sc.gradient_severity(F.col("value")).alias("severity"), F.round(sc.gradient_hours(F.col("value")), 4).alias("hours"), F.round(sc.gradient_confidence(F.col("churn"), F.col("coupling"), F.col("duplication")), 6).alias("confidence"))
@@ -99,7 +99,7 @@ def tdg_summary(spark, d):
     return top.crossJoin(p95).crossJoin(p99)  # one row each
 
 
-@query(with_("commits") + ", " + _TDG + """SELECT b::INT AS bucket, b * 0.5 AS lower, (b + 1) * 0.5 AS upper, count(value) AS "count", round(100.0 * count(value) / greatest((SELECT count(*) FROM tdg), 1), 6) AS percentage
+@query(with_("commits") + ", " + _TDG + """SELECT b::INT AS bucket, (b * 0.5)::DOUBLE AS lower, ((b + 1) * 0.5)::DOUBLE AS upper, count(value) AS "count", round(100.0 * count(value) / greatest((SELECT count(*) FROM tdg), 1), 6) AS percentage
   FROM range(10) AS r(b) LEFT JOIN tdg ON least(floor(value / 0.5), 9) = b GROUP BY b""")
 def tdg_histogram(spark, d):
     return stats.histogram(_gradient(spark, d), "value", 0.5, 10)
@@ -394,7 +394,7 @@ def defect_probability(spark, d):
     return _probability(spark, d).select("path", F.round("p", 6).alias("probability"), sc.risk_level(F.col("p")).alias("risk"))
 
 
-@query(with_("metrics") + "SELECT path, round(CASE WHEN loc < 10 THEN 0.5 WHEN loc < 50 THEN 0.8 ELSE 1.0 END * CASE WHEN afferent = 0 AND efferent = 0 THEN 0.9 ELSE 1.0 END * CASE WHEN churn = 0 THEN 0.85 ELSE 1.0 END, 6) AS confidence FROM metrics")
+@query(with_("metrics") + "SELECT path, round(CASE WHEN loc < 10 THEN 0.5 WHEN loc < 50 THEN 0.8 ELSE 1.0 END * CASE WHEN afferent = 0 AND efferent = 0 THEN 0.9 ELSE 1.0 END * CASE WHEN churn = 0 THEN 0.85 ELSE 1.0 END, 6)::DOUBLE AS confidence FROM metrics")
 def defect_confidence(spark, d):
     return roles.file_metrics(spark, d).select("path", F.round(sc.defect_confidence(F.col("loc"), F.col("afferent"), F.col("efferent"), F.col("churn")), 6).alias("confidence"))
 
@@ -636,7 +636,7 @@ def bigo_distribution(spark, d):
     return table(spark, d, "lineitem").groupBy(k.alias("growth"), sc.growth_name(k).alias("name")).agg(F.count("*").alias("functions"))
 
 
-@query("SELECT s_suppkey AS path, round(greatest(0.0, 1 - 0.3 * (s_suppkey % 3) - 0.1 * (s_suppkey % 4) - 0.02 * (s_suppkey % 5)), 6) AS quality FROM supplier")
+@query("SELECT s_suppkey AS path, round(greatest(0.0, 1 - 0.3 * (s_suppkey % 3) - 0.1 * (s_suppkey % 4) - 0.02 * (s_suppkey % 5)), 6)::DOUBLE AS quality FROM supplier")
 def makefile_quality(spark, d):
     k = F.col("s_suppkey")
     return table(spark, d, "supplier").select(k.alias("path"), F.round(sc.makefile_quality(k % 3, k % 4, k % 5), 6).alias("quality"))
