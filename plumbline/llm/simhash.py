@@ -9,8 +9,8 @@ bucket of some table. Candidates are verified on the fingerprints.
 
 Only distinct fingerprints are searched. A bucket of more than ``bucket_limit``
 of them is covered again, by other vectors, within the bucket; each level
-leaves under half the free bits, so buckets shrink below any limit over 8 after
-four levels. Within a bucket a spanning forest of its links is found, not all
+leaves under half the free bits, so buckets shrink below the limit after a few
+levels, and levels go on until none is larger. Within a bucket a spanning forest of its links is found, not all
 pairs.
 
 Defined results
@@ -118,7 +118,7 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, bucket_limit: int = 512)
         got = _links_in(cold, radius)
         found = got if found is None else found.union(got)
         rows, level = shared.filter(F.col("n") > bucket_limit).select("key", "fp"), level + 1
-        if level == 5 or not rows.limit(1).count():
+        if not rows.limit(1).count():
             return found
 
 
