@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,15 +20,35 @@ def normalised(tokens: Column) -> Column:
 
 
 def shingles(tokens: Column, k: int = 5) -> Column:
-    """Distinct hashes of every k tokens in a row; empty for fewer tokens."""
-    n = F.size(tokens)
+    """Distinct hashes of every k tokens in a row; empty for fewer tokens.
+
+    The tokens are bound to a lambda variable first: inlined, the expression
+    that makes them would run again for each of its elements.
+    """
     none = F.expr("cast(array() as array<bigint>)")
-    return F.when(n >= k, F.array_distinct(F.transform(F.slice(tokens, 1, F.greatest(n - (k - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get(tokens, i + j) for j in range(1, k)])))).otherwise(none)
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        return F.when(n >= k, F.array_distinct(F.transform(F.slice(t, 1, F.greatest(n - (k - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get(t, i + j) for j in range(1, k)])))).otherwise(none)
+
+    return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
 
 def signature(of: Column, hashes: int = 200) -> Column:
-    """MinHash signature: for each seed the least mixed shingle hash; empty sets have the largest."""
-    return F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda seed: F.coalesce(F.array_min(F.transform(of, lambda s: F.xxhash64(seed, s))), F.lit((1 << 63) - 1)))
+    """MinHash signature: for each of ``hashes`` seeded multipliers the least product (modulo 2^64) of a shingle hash; empty sets have the largest."""
+    def run(sets: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(42)
+        by, plus = rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
+        most = np.full(hashes, (1 << 63) - 1, dtype=np.int64)
+
+        def one(s):
+            x = np.asarray(s, dtype=np.int64).view(np.uint64)
+            x = x ^ (x >> np.uint64(32))
+            return np.array([(x * m + c).min() >> np.uint64(1) for m, c in zip(by, plus)], dtype=np.uint64).view(np.int64) if len(x) else most
+
+        return sets.map(one)
+
+    return F.pandas_udf(run, "array<long>")(of)
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -34,14 +56,19 @@ def alike(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
+def _sets(fragments: DataFrame, k: int) -> DataFrame:
+    """(id, s, digest): the sorted shingles of fragments of k tokens or more, and the digest that equal sets share."""
+    sets = fragments.filter(F.size("tokens") >= k).select("id", F.sort_array(shingles(F.col("tokens"), k)).alias("s"))
+    return sets.withColumn("digest", F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256))
+
+
 def similar_pairs(fragments: DataFrame, *, k: int = 5, hashes: int = 200, bands: int = 20, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity): pairs that agree in a band of rows and whose signatures agree to the threshold.
 
     Fragments of one shingle set are one member of the search, named by their
     least id, so copies add no pairs. Sets without shingles are left out.
     """
-    sets = fragments.select("id", F.sort_array(shingles(F.col("tokens"), k)).alias("s")).filter(F.size("s") > 0)
-    firsts = sets.groupBy("s").agg(F.min("id").alias("id"))
+    firsts = _sets(fragments, k).groupBy("digest").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s"))
     signed = cut(firsts.select("id", signature(F.col("s"), hashes).alias("sig")))  # else every band would hash again
     rows = hashes // bands
     keys = signed.select("id", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice(F.col("sig"), b * rows + 1, F.lit(rows))))).alias("band", "key"))
@@ -53,11 +80,11 @@ def similar_pairs(fragments: DataFrame, *, k: int = 5, hashes: int = 200, bands:
 def clone_groups(fragments: DataFrame, **how) -> DataFrame:
     """(id, group) of every fragment in a group of two or more: equal sets and similar ones, joined up."""
     pairs = similar_pairs(fragments, **how)
-    sets = fragments.select("id", F.sort_array(shingles(F.col("tokens"), how.get("k", 5))).alias("s")).filter(F.size("s") > 0)
-    firsts = sets.groupBy("s").agg(F.min("id").alias("first"))
+    sets = cut(_sets(fragments, how.get("k", 5)).select("id", "digest"))
+    firsts = sets.groupBy("digest").agg(F.min("id").alias("first"))
     edges = pairs.select(F.col("a").alias("from"), F.col("b").alias("to"))
     merged = components(nodes_of(edges), edges)
-    of = sets.join(firsts, "s").join(merged.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("group"))
+    of = sets.join(firsts, "digest").join(merged.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("group"))
     sizes = of.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
     return of.join(sizes, "group").select("id", "group")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,10 +29,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
+    """``df`` with its lineage cut: written once as Parquet in the shared folder and read back.
+
+    Unlike ``checkpoint()`` it runs the plan once, and statistics of the files
+    reach the planner. The folder is a temporary one only where none is set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
