@@ -4,11 +4,12 @@ Documents become pieces of at most ``capacity`` tokens. The lengths' histogram,
 at most ``capacity`` numbers whatever the corpus, goes to the driver. There the
 linear program over configurations (multisets of lengths that fit a sequence)
 is solved by multiplicative weights: each round prices the lengths, a knapsack
-dynamic program finds the most valuable configuration, it is used to a small
-share of the demand it meets, and the lengths that it covers get cheaper. The
-solution is rounded down, what is left is solved again, and the last few
-pieces are placed best-fit. The plan is a table of ranges, bounded by rounds
-and capacity; the pieces, ranked within each length, look up their place.
+dynamic program finds valuable configurations of different lengths, each is used to a
+share of the demand it meets, and the lengths that it covers get cheaper, until
+all are covered. The solution is rounded up where pieces are left, what is left is solved again
+while that places pieces, and the rounding's remainder is placed best-fit. The
+plan is a table of ranges, bounded by rounds and capacity; the pieces, ranked
+within each length, look up their place.
 
 Ranks need no sort of a length's pieces: a task counts its pieces of each length,
 and running sums over the tasks' counts (not the pieces) give the offsets.
@@ -69,10 +70,11 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
     return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, task long, place long")
 
 
-def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each size in the most valuable fill of ``capacity``: an unbounded knapsack, cut to ``most``.
+def fills(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most valuable fill of every room up to ``capacity``: an unbounded knapsack.
 
-    ``sizes`` ascend. value[c] is the best for room c; one vector step for each c.
+    ``sizes`` ascend. value[c] is the best for room c, pick[c] the size to take
+    there or -1; one vector step for each c.
     """
     value = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1, dtype=np.int64)
@@ -84,39 +86,61 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray,
             value[c], pick[c] = got[j], j
         else:
             value[c] = value[c - 1]
-    counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
+    return value, pick
+
+
+def configurations(sizes: np.ndarray, prices: np.ndarray, room: np.ndarray, capacity: int, *, share: float, waste: float = 0.01) -> list[tuple[dict[int, int], float]]:
+    """Valuable fills (index -> count) and how often to use each; together they use ``share`` of each size's ``room`` at most.
+
+    For every size, the most valuable first, the fill that holds it. Where a
+    size is used up, the fill takes the next smaller room's; it is left to a
+    later round if that wastes more than ``waste`` of the capacity.
+    """
+    value, pick = fills(sizes, prices, capacity)
+    budget, found = share * room, []
+    least = 0.05 * budget  # smaller steps are left to a later round
+    for first in np.argsort(-(prices + value[capacity - sizes]), kind="stable").tolist():
+        if budget[first] <= least[first]:
+            continue
+        counts, c, lost = {first: 1}, capacity - int(sizes[first]), 0
+        while c > 0 and lost <= waste * capacity:
+            j = int(pick[c])
+            if j >= 0 and budget[j] > least[j] and counts.get(j, 0) < max(room[j], 1):
+                counts[j] = counts.get(j, 0) + 1
+                c -= int(sizes[j])
+                continue
+            lost += j >= 0
             c -= 1
+        if lost > waste * capacity and found:
             continue
-        counts[pick[c]] += 1
-        c -= sizes[pick[c]]
-    return np.minimum(counts, most)
+        times = min(budget[k] / n for k, n in counts.items())
+        found.append((counts, times))
+        for k, n in counts.items():
+            budget[k] -= n * times
+    return found
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, share: float = 0.5, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each: a fractional cover of the demand by multiplicative weights.
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, share: float = 0.9, tolerance: float = 0.02) -> list[tuple[dict[int, int], float]]:
+    """Configurations (index -> count) and how often to use each: a fractional cover of the demand by multiplicative weights.
 
     Prices start near the size: what fills a sequence is worth its room, and a
     longer piece, harder to place, a little more. A length's price falls as
-    exp(-covered / demand). A round uses its configuration to ``share`` of what
-    the scarcest of its lengths still lacks. Lengths that are covered but for
-    a fiftieth are worth nothing.
+    exp(-covered / demand). A round uses configurations up to ``share`` of what
+    each length still lacks. Lengths that are covered but for ``tolerance`` are
+    worth nothing. Rounds go on until all are: each brings some length's gap
+    down by ``share``.
     """
-    covered, found = np.zeros(len(sizes)), []
-    for _ in range(rounds):
-        open_ = covered < 0.98 * demand
-        if not open_.any():
-            break
-        prices = np.where(open_, sizes * (1 + sizes / capacity) * np.exp(-covered / demand), 0.0)
-        counts = best_configuration(sizes, prices, np.ceil(demand - covered).astype(np.int64), capacity)
-        used = counts > 0
-        if not used.any():
-            break
-        times = share * float(np.min((demand - covered)[used] / counts[used]))
-        covered += counts * times
-        found.append((counts, times))
-    return found
+    covered, found = np.zeros(len(sizes)), {}
+    while True:
+        at = np.flatnonzero(covered < (1 - tolerance) * demand)
+        if not len(at):
+            return [(dict(config), times) for config, times in found.items()]
+        prices = sizes[at] * (1 + sizes[at] / capacity) * np.exp(-covered[at] / demand[at])
+        for counts, times in configurations(sizes[at], prices, (demand - covered)[at], capacity, share=share):
+            config = tuple(sorted((int(at[k]), n) for k, n in counts.items()))
+            found[config] = found.get(config, 0.0) + times
+            for k, n in config:
+                covered[k] += n * times
 
 
 def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -140,26 +164,29 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[d
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, *, passes: int = 3) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations (size -> count, times) that hold exactly the histogram's pieces."""
-    sizes = np.array(sorted(histogram), dtype=np.int64)
-    left = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    found: list[tuple[dict[int, int], int]] = []
-    for _ in range(passes):
-        open_ = np.flatnonzero(left)
-        if not len(open_):
-            break
-        before = left.sum()
+def rounded_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The linear program's whole configurations (size -> count, times), and what they leave of the demand.
+
+    Passes solve what the last one's rounding has left, until one places nothing.
+    """
+    left, found = demand.copy(), []
+    while left.any():
+        open_, before = np.flatnonzero(left), left.sum()
         for counts, times in sorted(solve(sizes[open_], left[open_].astype(float), capacity), key=lambda x: -x[1]):
-            full = np.zeros(len(sizes), dtype=np.int64)
-            full[open_] = counts
-            used = full > 0
-            whole = int(min(np.floor(times + 1e-9), np.min(left[used] // full[used])))
+            whole = int(min(np.ceil(times - 1e-9), min(left[open_[k]] // n for k, n in counts.items())))
             if whole > 0:
-                left -= full * whole
-                found.append(({int(sizes[k]): int(full[k]) for k in np.flatnonzero(used)}, whole))
+                for k, n in counts.items():
+                    left[open_[k]] -= n * whole
+                found.append(({int(sizes[open_[k]]): n for k, n in counts.items()}, whole))
         if before == left.sum():
             break
+    return found, left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Whole configurations (size -> count, times) that hold exactly the histogram's pieces."""
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    found, left = rounded_program(sizes, np.array([histogram[int(s)] for s in sizes], dtype=np.int64), capacity)
     return found + best_fit(sizes, left, capacity)
 
 
