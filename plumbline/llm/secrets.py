@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.base import broadcast_if, documents, shared_dir, stored, text_of
 
-RULE_VERSION = "2026-11-a"
+RULE_VERSION = "2026-11-b"
+#: A private key with its body: up to the END line, or as long as base64 goes on where that is missing.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"(?:(?:\s*(?:Proc-Type|DEK-Info):[^\n]*){0,4}[^-]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*){0,4}(?:[\s\\\"]*[A-Za-z0-9+/=]{16,}+){0,400}(?:\r?\n[A-Za-z0-9+/]{1,63}={0,2}(?=\r?\n|$))?)"
+)
 #: Kind, pattern, and which group must have how many characters at least. In the order of the kinds.
 #: The first three are fixed by contract; hex and access spell their least length in the pattern,
 #: which finds the same spans, as a shorter run holds no longer one.
@@ -34,7 +40,7 @@ RULES = (
     ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
     ("access", r"AKIA[A-Z0-9]{12,}", 0),
     ("hex", r"[0-9a-f]{32,}", 0),
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0),
+    ("pem", PEM, 0),
     ("vcs", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}", 0),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0),
 )
