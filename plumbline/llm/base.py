@@ -17,26 +17,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one in local mode only, where none is set."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         folder = sc.getCheckpointDir()
-    return folder
+    return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back.
 
     The files outlive any executor. They are compressed columns, smaller than
     what ``checkpoint()`` writes.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/stored/{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``stored`` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.rpartition("/")[0].endswith("/stored"):
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], how: str = "left", *, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key at most; no task gets a hot key.
+
+    A key of more than ``hot`` rows and more than a thousandth of all rows is
+    hot. So there are under a thousand, whose rows of ``table`` are broadcast.
+    ``rows`` and ``table`` are read more than once: store them before. Keys must not be null.
+    """
+    n = rows.count()
+    often = rows.groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max(hot, n // 1000)).select(*key)
+    often = stored(often)
+    if not often.limit(1).count():
+        return rows.join(table, key, how)
+    few = F.broadcast(often)
+    for_hot, for_rest = rows.join(few, key, "left_semi"), rows.join(few, key, "left_anti")
+    return for_hot.join(F.broadcast(table.join(few, key, "left_semi")), key, how).unionByName(for_rest.join(table, key, how))
+
+
 def text_of(name: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

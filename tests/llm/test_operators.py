@@ -196,12 +196,77 @@ def test_lm_scoring(docs, empty):
     counts = Counter(w for d, _ in texts() if not held[d] for w in tokens_of[d])
     total = sum(counts.values())
     z = total + 0.1 * (len(counts) + 1)
-    for d, rs in by_id(lm_scoring.scored(docs, classes=64)).items():
+    for d, rs in by_id(lm_scoring.scored(docs)).items():
         for r in rs:
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(tokens_of[d]), sum(counts[w] > 0 for w in tokens_of[d]), total)
             assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / z) for w in tokens_of[d]))
-            assert r.score < 0
     assert lm_scoring.scored(empty).count() == 0
+    unseen = lm_scoring.scored(docs.filter("doc_id IS NULL")).first()  # nothing to learn from
+    assert unseen.score == unseen.base_score == 0 and unseen.n_known == 0
+
+
+def plain_model(fitted):
+    """(class of a token, its share in it, P(class | classes before)) from the fitted parts, one number at a time."""
+    import xxhash
+
+    c, m = fitted.classes, fitted.model
+    counts = Counter(w for d, t in texts() if d is not None and zlib.crc32(str(d).encode()) % 10 for w in [*WORD.findall(t.translate(LOWER)), "\n"])
+    frequent = {t: k for k, t in enumerate(c.tokens)}
+
+    def of(token):
+        h = xxhash.xxh64_intdigest(token[-3:].encode(), 42)
+        return frequent.get(token, len(frequent) + (h - (1 << 64) * (h >> 63)) % c.shapes)
+
+    mass = [0.1 * (k >= len(frequent)) for k in range(len(frequent) + c.shapes)]
+    for t, n in counts.items():
+        mass[of(t)] += n + 0.1
+
+    def p(one, two):
+        h = m.context[one] * m.scale[0] + m.context[two] * m.scale[1]
+        e = [math.exp(float(h @ m.target[k]) + float(m.bias[k])) for k in range(m.n)]
+        return [x / sum(e) for x in e]
+
+    return counts, of, lambda t: (counts.get(t, 0) + 0.1) / mass[of(t)], p
+
+
+def test_lm_score_is_the_models_normalised_probability(docs):
+    fitted = lm_scoring.fit(docs)
+    counts, of, inside, p = plain_model(fitted)
+    got = by_id(lm_scoring.scored(docs))
+    for d, t in texts():
+        words = [*WORD.findall(t.translate(LOWER)), "\n"]
+        if len(words) > 500:
+            continue
+        before, want = ["\n", "\n"], 0.0
+        for w in words:
+            want += math.log10(p(of(before[-1]), of(before[-2]))[of(w)] * inside(w))
+            before.append(w)
+        assert all(r.score == pytest.approx(want, rel=1e-4) for r in got[d]), d
+    # over all known tokens and one unseen token of each shape the probabilities add up to one
+    classes = p(of("\n"), of("one"))
+    unseen = sum(classes[len(fitted.classes.tokens) + k] * 0.1 / fitted.classes.mass[len(fitted.classes.tokens) + k] for k in range(fitted.classes.shapes))
+    assert sum(classes[of(w)] * inside(w) for w in counts) + unseen == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_partitions_blocks_or_batches(docs):
+    """Many blocks and several shards, from 1 and from 7 partitions."""
+    runs = [by_id(lm_scoring.scored(docs.repartition(n), block_chars=chars, shard_tokens=5_000)) for n, chars in ((1, 3_000), (7, 1_000_000))]
+    for d in runs[0]:
+        assert [r.score for r in runs[0][d]] == pytest.approx([r.score for r in runs[1][d]], rel=1e-5)
+
+
+def test_lm_learns_on_held_out_documents(spark):
+    rng = np.random.default_rng(5)
+    follows = rng.integers(60, size=(60, 3))
+    data = []
+    for k in range(400):
+        at, words = int(rng.integers(60)), []
+        for _ in range(80):
+            words.append(f"w{at}x")
+            at = int(follows[at, rng.integers(3)])
+        data.append((k, " ".join(words), "en", "s", 0, "", 0, ""))
+    rows = lm_scoring.scored(corpus.table(spark, data)).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.3 * sum(r.n_tokens for r in rows)
 
 
 def test_lm_is_normalised_and_learns():
@@ -210,16 +275,15 @@ def test_lm_is_normalised_and_learns():
     for k in range(1, len(ids)):  # mostly the next of eight
         ids[k] = (ids[k - 1] + 1) % 8 if rng.random() < 0.9 else rng.integers(8)
     share = np.bincount(ids, minlength=8) / len(ids)
-    model = lm_scoring.Model.fresh(share)
-    one, two, target = lm_scoring.contexts([ids], 0)
+    model, ends = lm_scoring.Model.fresh(share), np.array([len(ids)])
+    one, two = lm_scoring.contexts(ids, ends, 0)
     every = sum(10 ** model.log10(one[:50], two[:50], np.full(50, c)) for c in range(8))
     assert every == pytest.approx(np.ones(50), abs=1e-5)
-    before = model.log10(one, two, target).mean()
+    before = model.log10(one, two, ids).mean()
     trainer = lm_scoring.Trainer(model, share)
     for _ in range(20):
-        for at in range(0, len(ids), 512):
-            trainer.step(one[at : at + 512], two[at : at + 512], target[at : at + 512])
-    assert model.log10(one, two, target).mean() > before + 0.3
+        trainer.learn(ids, ends, 0, 512)
+    assert model.log10(one, two, ids).mean() > before + 0.3
 
 
 def test_decontamination(spark, docs, empty):
