@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,32 @@ def removed(df: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def batches(spark: SparkSession, path: str, batch: str = "*") -> list[str]:
+    """The folders of the batches that are below ``path``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or ()
+    return sorted(str(x.getPath().getParent().toString()) for x in found)
+
+
+def published(df: DataFrame, path: str, batch: str) -> bool:
+    """Writes ``df`` as a batch below ``path``: apart first, then by one rename. False if the batch is there by then."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    apart = f"{path}/_apart/{uuid.uuid4().hex}"
+    df.write.parquet(apart)
+    a, b = jvm.org.apache.hadoop.fs.Path(apart), jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), conf)
+    try:
+        files.rename(a, b, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError:
+        if not batches(spark, path, batch):
+            raise
+        files.delete(a, True)
+        return False
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: list[str], how: str = "left", *, hot: int = 1000) -> DataFrame:
     """``rows`` joined with ``table``, which has a row for each key at most; no task gets a hot key.
 
@@ -76,6 +103,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
+def carried(docs: DataFrame, name: str = "_row") -> Column:
+    """All columns of ``docs`` as one struct, so that none can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
+def unpacked(columns: list[str], row: str = "_row") -> list[Column]:
+    """The columns of such a struct."""
+    return [F.col(row)[c].alias(c) for c in columns]
+
+
+def with_text(df: DataFrame, columns: list[str], text: str, new: Column, changed: Column, row: str = "_row") -> DataFrame:
+    """The carried columns, the text being ``new`` where ``changed``; ``n_chars``, where there is one, follows."""
+    changed = F.coalesce(changed, F.lit(False))
+    df = df.select(row, F.when(changed, new).otherwise(F.col(row)[text]).alias("_new"), changed.alias("_changed"))
+    kind = dict(df.select(f"{row}.*").dtypes)
+    value = {text: F.col("_new")}
+    if "n_chars" in columns and text != "n_chars":
+        value["n_chars"] = F.when(F.col("_changed"), F.length("_new").cast(kind["n_chars"])).otherwise(F.col(row)["n_chars"])
+    return df.select(*[value.get(c, F.col(row)[c]).alias(c) for c in columns])
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay under the bound, else unchanged."""
     return F.broadcast(df) if rows <= most else df

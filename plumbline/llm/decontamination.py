@@ -15,10 +15,11 @@ one shingle of all of them, found only in a document of exactly those words.
 
 Defined results
 ---------------
-* A null or wordless document or item is in no pair.
+* A null or wordless document or item is in no pair. A text of any length is searched whole.
+* Ties: an item that a document holds in full and one that it holds to the threshold are both reported.
 * Repeated document rows give repeated pairs; an item_id given twice counts as
   two items of equal id, merged as one (its shingles are united).
-* Empty tables give an empty result. Only the named columns are read.
+* Empty tables give an empty result. Only the named columns are read; all others, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.base import broadcast_if, documents, stored, text_of
+from plumbline.llm.base import broadcast_if, carried, documents, looked_up, stored, text_of, unpacked
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Sketch hashes or shingles up to which the items' side is broadcast (about 60 MB).
@@ -64,8 +65,11 @@ def item_sketches(shingles: DataFrame, threshold: float) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_found, containment) with containment at or over ``threshold``."""
     found = contaminated_texts(docs, items, text=text, item_id=item_id, item_text=item_text, size=size, threshold=threshold)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"))
-    return rows.join(found, "text_hash").select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+    # one row for each text, so that a text with many copies can be split
+    pairs = ["item_id", "n_shingles", "n_found", "containment"]
+    listed = stored(found.groupBy("text_hash").agg(F.collect_list(F.struct(*pairs)).alias("pairs")))
+    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash")))
+    return looked_up(rows, listed, ["text_hash"], "inner").select("doc_id", F.inline("pairs"))
 
 
 def contaminated_texts(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -100,9 +104,9 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, *, text: str = "text",
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The documents that contain no item."""
-    found = stored(contaminated_texts(docs, items, text=text, **how).select(F.col("text_hash").alias("_hash")).distinct())
-    rows = docs.withColumn("_hash", F.xxhash64(text_of(text)))
-    return rows.join(broadcast_if(found, found.count(), BROADCAST_ROWS), "_hash", "left_anti").select(*docs.columns)
+    found = stored(contaminated_texts(docs, items, text=text, **how).select("text_hash").distinct())
+    rows = docs.select(carried(docs), F.xxhash64(text_of(text)).alias("text_hash"))
+    return rows.join(broadcast_if(found, found.count(), BROADCAST_ROWS), "text_hash", "left_anti").select(*unpacked(docs.columns))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

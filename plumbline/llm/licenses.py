@@ -1,7 +1,10 @@
 """License scans by a trained paragraph classifier.
 
-A paragraph is a line with a word. Sparse word n-grams (one to three words) of
-the lower-cased paragraph feed a multinomial logistic regression over licence
+A paragraph is a line with a word, or up to ``WRAP`` such lines in a row, as
+notices are wrapped: where a line holds words of the templates and is no
+confirmed notice by itself, the lines that follow are taken with it, and the
+likeliest number of them. Sparse word n-grams (one to three words) of the
+lower-cased paragraph feed a multinomial logistic regression over licence
 families and ``unknown``. It is trained on the driver from sentences made of
 the notice templates below and from a bounded sample of the corpus's own
 paragraphs as ``unknown``; its probabilities are calibrated (temperature on a
@@ -15,7 +18,9 @@ biases': it is unknown without further work.
 
 Defined results
 ---------------
-* A null or empty text has no paragraphs, hence no findings.
+* A null or empty text has no paragraphs, hence no findings. A text of any length is read whole.
+* ``All rights reserved.`` is a notice of the family ``proprietary``.
+* Of equally likely families the first one, of equally likely wrapped notices the shortest.
 * Repeated rows give repeated findings. A null doc_id is kept.
 * Empty tables, a corpus without a licence or a corpus of notices only give what they hold.
 * Only the named columns are read.
@@ -80,13 +85,15 @@ TEMPLATES = {
     ],
     "CC0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0", "Released into the public domain under CC0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
-    "proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
+    "proprietary": ["All rights reserved.", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
 }
 STOP = frozenset("a an and any are as at be by for from in is it its of on or that the this to under use with work you your not no may can will was has have we our terms use used file form forms content".split())
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
 #: The bound on the corpus's paragraphs that training sees.
 SAMPLE_PARAGRAPHS = 3000
+#: The most lines over which a notice is wrapped.
+WRAP = 8
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -135,6 +142,10 @@ class Model:
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    def speaks(self, paragraph: str) -> bool:
+        """Whether the paragraph holds a word of the templates that is no stop word."""
+        return not self.known.isdisjoint(words_in(paragraph))
+
     def predict(self, paragraph: str) -> tuple[str, float, float]:
         """(family or unknown, probability, likeness to the family's nearest template)."""
         words = words_in(paragraph)
@@ -160,23 +171,23 @@ def fit(paragraphs: list[str], *, rounds: int = 300, rate: float = 0.5, l2: floa
     data = _examples(rng, filler) + [(UNKNOWN, w) for w in others]
     rng.shuffle(data)
     vocabulary = {g: i for i, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(words_in(t))}))}
-    x = np.zeros((len(data), len(vocabulary)), dtype=np.float32)
-    for k, (_, w) in enumerate(data):
-        for g in grams(w):
-            if (i := vocabulary.get(g)) is not None:
-                x[k, i] = 1
+    # sparse rows: the features of example k are at[starts[k]:starts[k + 1]]; the last column is always on
+    sets = [sorted({vocabulary[g] for g in grams(w) if g in vocabulary}) + [len(vocabulary)] for _, w in data]
+    at, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sets)), sizes)
     y = np.array([FAMILIES.index(f) for f, _ in data])
     held = np.arange(len(data)) % 5 == 0
-    w, b = np.zeros((len(vocabulary), len(FAMILIES)), dtype=np.float32), np.zeros(len(FAMILIES), dtype=np.float32)
-    want = np.eye(len(FAMILIES), dtype=np.float32)[y]
-    xt, wt = x[~held], want[~held]
+    w = np.zeros((len(vocabulary) + 1, len(FAMILIES)))
+    want, learns = np.eye(len(FAMILIES))[y], (~held)[:, None] / (~held).sum()
     for _ in range(rounds):
-        z = xt @ w + b
+        z = np.add.reduceat(w[at], starts)
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        g = (wt - p / p.sum(axis=1, keepdims=True)) / len(xt)
-        w += rate * 20 * (xt.T @ g - l2 * w)
-        b += rate * 20 * g.sum(axis=0)
-    z = x[held] @ w + b
+        g = ((want - p / p.sum(axis=1, keepdims=True)) * learns)[of]
+        up = np.stack([np.bincount(at, g[:, k], len(w)) for k in range(len(FAMILIES))], axis=1)
+        up[:-1] -= l2 * w[:-1]
+        w += rate * 20 * up
+    b, w = w[-1], w[:-1]
+    z = np.add.reduceat(np.vstack([w, b])[at], starts)[held]
 
     def loss(t: float) -> float:
         s = z / t
@@ -193,15 +204,42 @@ def fit(paragraphs: list[str], *, rounds: int = 300, rate: float = 0.5, l2: floa
 
 
 def train(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE_PARAGRAPHS, **how) -> Model:
-    """A model whose unknowns are ``sample`` paragraphs of the corpus, those of the smallest hashes; long ones are cut to 400 characters here."""
-    p = docs.select(F.explode(F.split(text_of(text), "\n")).alias("p")).filter(F.length("p") > 0).select(F.xxhash64("p").alias("h"), F.substring("p", 1, 400).alias("p"))
-    return fit([r["p"] for r in p.orderBy("h", "p").limit(sample).collect()], **how)
+    """A model whose unknowns are about ``sample`` different paragraphs of the corpus, whole, chosen by a hash.
+
+    The paragraphs are counted first; those whose hash is below the share that
+    is wanted are collected, which no hot paragraph or number of tasks changes.
+    """
+    p = docs.select(F.explode(F.split(text_of(text), "\n")).alias("p")).filter(F.length("p") > 0).select(F.xxhash64("p").alias("h"), "p")
+    kinds = p.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    below = int(min(1.0, sample / max(kinds, 1)) * (1 << 40))
+    chosen = p.filter(F.pmod("h", F.lit(1 << 40)) < below).groupBy("h").agg(F.min("p").alias("p"))
+    return fit([r["p"] for r in chosen.orderBy("h").collect()], **how)
+
+
+def findings(model: Model, text: str, confirm: float, wrap: int = WRAP):
+    """(first line, start, end, family, probability, likeness) of every predicted notice of one text."""
+    lines = text.split("\n")
+    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]).tolist()
+    n = 0
+    while n < len(lines):
+        family, p, like = model.predict(lines[n])
+        upto = n + 1
+        if not (family != UNKNOWN and like >= confirm) and model.speaks(lines[n]):
+            for m in range(n + 2, min(n + wrap, len(lines)) + 1):
+                if not lines[m - 1].strip():
+                    break
+                wider = model.predict(" ".join(lines[n:m]))
+                if wider[0] != UNKNOWN and wider[2] >= confirm and (wider[2], wider[1]) > (like, p if family != UNKNOWN else 0.0):
+                    (family, p, like), upto = wider, m
+        if family != UNKNOWN:
+            yield n, starts[n], starts[upto] - 1, family, p, like
+        n = upto
 
 
 def license_scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", confirm: float = 0.5) -> DataFrame:
     """(doc_id, paragraph, start, end, family, probability, likeness, confirmed) of every paragraph predicted to be a notice.
 
-    ``paragraph`` counts the lines from 0; start and end are code points.
+    ``paragraph`` counts the lines from 0 and is the notice's first one; start and end are code points.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -214,13 +252,9 @@ def license_scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text:
         for batch in batches:
             found, at = [], []
             for k, t in enumerate(batch.column(1)):
-                start = 0
-                for n, line in enumerate(t.as_py().split("\n")):
-                    family, p, like = model.predict(line)
-                    if family != UNKNOWN:
-                        at.append(k)
-                        found.append((n, start, start + len(line), family, p, like, like >= confirm))
-                    start += len(line) + 1
+                for row in findings(model, t.as_py(), confirm):
+                    at.append(k)
+                    found.append((*row, row[-1] >= confirm))
             cols = list(zip(*found)) if found else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, x) for c, x in zip(cols, types)]], names=["doc_id", *names])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import stored, text_of
+from plumbline.llm.base import looked_up, stored, text_of
 from plumbline.llm.components import components
 
 WORDS = 5
@@ -155,8 +155,8 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     of = components(edges)
     least = nodes.join(of, "node").groupBy("component").agg(F.min("first_id").alias("least_id"))
     merged = of.join(least, "component").select("node", "least_id")
-    kept = nodes.join(merged, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("kept_id"))
-    dropped = stored(found.join(kept, "node").filter(F.col("doc_id") != F.col("kept_id")).select(F.col("doc_id").alias(doc_id)).distinct())
+    kept = stored(nodes.join(merged, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("kept_id")))
+    dropped = stored(looked_up(found.select("node", "doc_id"), kept, ["node"], "inner").filter(F.col("doc_id") != F.col("kept_id")).select(F.col("doc_id").alias(doc_id)).distinct())
     rest = docs.join(dropped, doc_id, "left_anti").select(*docs.columns)
     twice = stored(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(doc_id)))
     if not twice.limit(1).count():

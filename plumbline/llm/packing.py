@@ -17,6 +17,8 @@ and running sums over the tasks' counts (not the pieces) give the offsets.
 Defined results
 ---------------
 * A null text is empty; every document ends with token 0, so it has a token at least.
+* A special token's string in a text becomes that token, as the tokenizers library does by default.
+* A text of any length is encoded whole. Pieces of equal length take their places in the order of tasks and rows.
 * Pieces of full length are sequences of their own.
 * Repeated rows are packed each; a null doc_id is kept.
 * An empty table gives an empty result. Only the two named columns are read.

@@ -7,14 +7,14 @@ score after a logistic calibration. It learns from document labels: each line
 of a training document takes the document's label.
 
 The field is fitted on the driver from at most ``TRAIN_DOCS`` labelled
-documents of at most ``TRAIN_CHARS`` characters, chosen by a hash of their ids.
-Scoring covers every whole text.
+documents of at most ``TRAIN_CHARS`` characters, chosen by a hash of their ids. Scoring covers every whole text, of any length.
 
 Defined results
 ---------------
 * A null or empty text has no lines; it scores as all bad, after calibration.
 * Without usable labels every score is 0.5.
-* Repeated rows score alike; a null doc_id is held out of training.
+* Equal texts score alike; a score of 0.3 is predicted good.
+* Repeated rows train once and score alike; a null doc_id is held out of training.
 * An empty table gives an empty result. labels, lang, source and doc_id are no inputs.
 """
 
@@ -167,15 +167,17 @@ def score(model: dict | None, text: str) -> float:
 def train(docs: DataFrame, labels: DataFrame, *, fold: int = 5, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> dict | None:
     """A field from the bounded sample of labelled documents out of fold 0."""
     usable = labels.filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold != 0)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality"))
-    chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).filter(F.length(text_of()) <= train_chars).select(text_of().alias("text"), "_quality")
-    found = rows.limit(2 * train_docs).collect()
+    chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_quality").limit(train_docs)
+    named = docs.select(F.col("doc_id").alias("_doc"), text_of().alias("text")).filter(F.length("text") <= train_chars)
+    # ids that repeat count once: the least text stands for an id
+    found = named.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_quality").agg(F.min("text").alias("text")).collect()
     return fit([(*line_features(r["text"]), r["_quality"]) for r in sorted(found, key=lambda r: (r["text"], r["_quality"]))])
 
 
 def scored(docs: DataFrame, model: dict | None, *, doc_id: str = "doc_id", text: str = "text", fold: int = 5) -> DataFrame:
     """(doc_id, held_out, score) of every document."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.crc32(F.col(doc_id).cast("string")) % fold == 0).alias("held_out"), text_of(text).alias("text"))
+    held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % fold == 0, F.lit(True))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), text_of(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -188,4 +190,4 @@ def scored(docs: DataFrame, model: dict | None, *, doc_id: str = "doc_id", text:
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -1,78 +1,81 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Each document gets word and line statistics. Lines are normalised (lower case,
-blanks collapsed) and hashed; for each host the distinct texts that hold a line
-are counted. A line over the limits is boilerplate and is taken away; a
-document that loses most of its words so is depleted and rejected.
+One pass over the texts stores each document's word and line statistics and
+its normalised lines' hashes (lower case, blanks collapsed). For each host the
+distinct documents that hold a line are counted. A line over the limits is
+boilerplate and is taken out of the text; a document that loses most of its
+words so is depleted and rejected.
+
+A line that only copies of a few texts share is no boilerplate: a line over
+the limits stands in more than ``min_texts`` different texts as well. Copies
+are left to near-duplicate removal, which keeps one of them.
 
 Defined results
 ---------------
-* A null text counts as empty: no words, hence ``base_failed``.
+* A null text counts as empty: no words, hence ``base_failed``. A very long one is one row like any other.
 * A null host is the host ``''``.
-* Copies of one text count once for the line frequency, and all get the same verdict.
-* Repeated rows give one result row each. Other columns of the input are kept
-  out of the way: only ``doc_id``, the text and the host are read.
+* Documents are told apart by doc_id: repeated rows count once for the line frequency, rows of null id don't.
+  Copies of one text get the same verdict, as ties do.
+* Repeated rows give one result row each. All other columns of the input, whatever their names, are kept
+  as they are; only ``n_chars``, where there is one, follows a changed text.
 * An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import BLANKS, broadcast_if, documents, stored, text_of, words_of
+from plumbline.llm.base import BLANKS, broadcast_if, carried, documents, looked_up, stored, text_of, with_text, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
+NO_LINES = "cast(array() as array<struct<line:bigint,n:int>>)"
+
+
+def line_key(line: Column) -> Column:
+    """The hash of a normalised line."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), BLANKS, " ")))
+
+
+def _lines(text: Column) -> Column:
+    """The lines with a word, as (hash, number of words)."""
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(line_key(x).alias("line"), F.size(words_of(x)).alias("n")))
 
 
-def line_verdicts(
-    docs: DataFrame,
-    *,
-    text: str = "text",
-    host: str = "source",
-    min_docs: int = 50,
-    max_share: float = 0.2,
-    min_left: float = 0.3,
-) -> DataFrame:
-    """One row (host, text_hash, removed_share, depleted) for each distinct text with a frequent line.
-
-    A line is above the limits if more than ``min_docs`` texts of its host
-    and more than ``max_share`` of all texts of the host hold it. A text is
-    depleted if less than ``min_left`` of its words are in other lines.
+def frequent_lines(profiles: DataFrame, *, min_docs: int = 50, min_texts: int = 50, max_share: float = 0.05) -> DataFrame:
+    """(host, line) of the lines above the limits, from profiles (doc_id, host, text_hash, lines).
+
+    More than ``min_docs`` documents of the host, more than ``max_share`` of
+    its documents and more than ``min_texts`` different texts hold such a line.
     """
-    rows = docs.select(
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-        F.xxhash64(text_of(text)).alias("text_hash"),
-        F.explode(F.filter(F.split(text_of(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("line"),
-    )
-    line = F.trim(F.regexp_replace(F.lower("line"), BLANKS, " "))
-    held = (
-        rows.select("host", "text_hash", F.xxhash64(line).alias("line_hash"), (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).alias("n"))
-        .groupBy("host", "line_hash", "text_hash")
-        .agg(F.sum("n").alias("n"))
-    )
-    hosts = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of(text)).alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
-    frequent = (
-        held.groupBy("host", "line_hash")
-        .agg(F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") > min_docs)
-        .join(hosts, "host")
-        .filter(F.col("n_docs") > max_share * F.col("n_texts"))
-        .select("host", "line_hash", F.lit(True).alias("frequent"))
-    )
+    hosts = profiles.groupBy("host").agg(F.count_distinct("doc_id").alias("in_host"))
+    held = profiles.select("host", "doc_id", "text_hash", F.explode(F.array_distinct("lines.line")).alias("line"))
+    counts = held.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("text_hash").alias("n_texts")).filter((F.col("n_docs") > min_docs) & (F.col("n_texts") > min_texts))
+    return counts.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("in_host")).select("host", "line")
+
+
+def line_verdicts(profiles: DataFrame, frequent: DataFrame, *, min_left: float = 0.3) -> DataFrame:
+    """(host, text_hash, gone, removed_share, depleted) for each distinct text with a frequent line.
+
+    ``gone`` are its frequent lines' hashes. A text is depleted if less than
+    ``min_left`` of its words are in other lines.
+    """
+    frequent = stored(frequent.withColumn("frequent", F.lit(True)))
+    lines = stored(profiles.select("host", "text_hash", F.explode("lines").alias("x")).groupBy("host", "text_hash", "x.line").agg(F.sum("x.n").alias("n")))
+    marked = looked_up(lines, frequent, ["host", "line"]) if frequent.count() > 100_000 else lines.join(F.broadcast(frequent), ["host", "line"], "left")
+    gone = F.sum(F.when(F.col("frequent"), F.col("n")).otherwise(0))
     return (
-        held.join(frequent, ["host", "line_hash"], "left")
-        .groupBy("host", "text_hash")
-        .agg((F.sum(F.when(F.col("frequent"), F.col("n")).otherwise(0)) / F.sum("n")).alias("removed_share"))
-        .filter(F.col("removed_share") > 0)
+        marked.groupBy("host", "text_hash")
+        .agg((gone / F.sum("n")).alias("removed_share"), F.collect_list(F.when(F.col("frequent"), F.col("line"))).alias("gone"))
+        .filter(F.size("gone") > 0)
         .withColumn("depleted", 1 - F.col("removed_share") < min_left)
     )
 
 
-def statistics(docs: DataFrame, carried: dict, *, text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """The ``carried`` columns (name: Column), host, text_hash and the statistics that need one text only."""
+def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """(doc_id, host, text_hash, lines, the statistics of one text, base_failed), stored: later filters must not build the arrays anew."""
     base = (
-        docs.select(F.struct(*[c.alias(n) for n, c in carried.items()]).alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("_text"))
+        docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("_text"))
         .withColumn("_words", words_of(F.col("_text")))
         .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     )
@@ -85,40 +88,54 @@ def statistics(docs: DataFrame, carried: dict, *, text: str = "text", host: str
     base = base.withColumn("_again", F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"])))
     p = F.col("_again")
     base = base.withColumn("_steps", F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x + F.size(p) * 0, F.lit(3)))))
-    return base.select(
-        *[F.col("_row")[n].alias(n) for n in carried],
-        F.col("host").alias("_host"),
-        F.col("text_hash").alias("_hash"),
-        F.size("_words").cast("long").alias("_n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("_word_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("_n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        F.aggregate("_steps", F.lit(0), lambda a, x: a + x).cast("long").alias("_n_repeat_words"),
-    ).withColumn("_base_failed", (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words")))
+    found = base.select(
+        "doc_id",
+        "host",
+        "text_hash",
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.aggregate("_steps", F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
+        F.coalesce(_lines(F.col("_text")), F.expr(NO_LINES)).alias("lines"),
+    )
+    return stored(found.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))))
+
+
+def _judged(docs: DataFrame, limits: dict, **how) -> tuple[DataFrame, DataFrame]:
+    """The statistics of the documents, and the verdicts on the texts that have frequent lines."""
+    stats = statistics(docs, **how)
+    profiles, left = stats.select("doc_id", "host", "text_hash", "lines"), {k: limits.pop(k) for k in ("min_left",) if k in limits}
+    return stats, stored(line_verdicts(profiles, frequent_lines(profiles, **limits), **left))
 
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, **limits) -> DataFrame:
-    """Statistics, ``base_failed``, ``removed_share`` and ``kept`` of each document. ``limits``: see ``line_verdicts``."""
-    stats = statistics(docs, {"doc_id": F.col(doc_id)}, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent)
-    verdicts = line_verdicts(docs, text=text, host=host, **limits).select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "removed_share", "depleted")
-    out = stats.join(verdicts, ["_host", "_hash"], "left")
-    named = [F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return out.select("doc_id", *named, F.coalesce("removed_share", F.lit(0.0)).alias("removed_share"), (~F.col("_base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"))
+    """Statistics, ``base_failed``, ``removed_share`` and ``kept`` of each document. ``limits``: see ``frequent_lines`` and ``line_verdicts``."""
+    stats, verdicts = _judged(docs, limits, doc_id=doc_id, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent)
+    stats, verdicts = stats.drop("lines"), verdicts.select("host", "text_hash", "removed_share", "depleted")
+    out = looked_up(stats, verdicts, ["host", "text_hash"])
+    return out.select(
+        *["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"],
+        F.coalesce("removed_share", F.lit(0.0)).alias("removed_share"),
+        (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"),
+    )
 
 
-def kept_documents(docs: DataFrame, *, text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, **limits) -> DataFrame:
-    """The documents, all their columns, that the rules keep.
+def kept_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, most_broadcast: int = 200_000, **limits) -> DataFrame:
+    """The documents, all their columns, that the rules keep, without their frequent lines.
 
-    The verdicts are written first, as (host, text_hash): a filter on a
-    statistic would be pushed below the arrays it is made of and build them
-    anew for every word. Texts move only if the rejected are too many to broadcast.
+    Rejected texts and texts with frequent lines are broadcast by their hashes
+    while they are at most ``most_broadcast``; beyond, the rows are shuffled.
     """
-    key = ["_host", "_hash"]
-    failed = stored(statistics(docs, {"_n": F.lit(1)}, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent).select(*key, "_base_failed"))
-    depleted = line_verdicts(docs, text=text, host=host, **limits).filter("depleted").select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"))
-    rejected = stored(failed.filter("_base_failed").select(*key).union(depleted).distinct())
-    rows = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(text_of(text)))
-    return rows.join(broadcast_if(rejected, rejected.count(), 1_000_000), key, "left_anti").select(*docs.columns)
+    stats, verdicts = _judged(docs, limits, doc_id=doc_id, text=text, host=host, min_words=min_words, max_repeat_percent=max_repeat_percent)
+    failed = stats.filter("base_failed").select("host", "text_hash").distinct().select("host", "text_hash", F.expr("cast(array() as array<bigint>)").alias("gone"), F.lit(True).alias("bad"))
+    changed = verdicts.join(failed.select("host", "text_hash"), ["host", "text_hash"], "left_anti").select("host", "text_hash", "gone", F.col("depleted").alias("bad"))
+    judged = stored(failed.unionByName(changed))
+    rows = docs.select(carried(docs), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of(text)).alias("text_hash"))
+    key = ["host", "text_hash"]
+    found = rows.join(F.broadcast(judged), key, "left") if judged.count() <= most_broadcast else looked_up(rows, judged, key)
+    left = F.filter(F.split(F.col("_row")[text], "\n"), lambda x: ~F.array_contains("gone", line_key(x)))
+    return with_text(found.filter(~F.coalesce("bad", F.lit(False))), docs.columns, text, F.array_join(left, "\n"), F.size("gone") > 0)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -139,23 +156,22 @@ again AS (
 rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 ln AS (
-  SELECT host, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
-  FROM (SELECT host, t, unnest(l) AS x FROM d)),
-held AS (
-  SELECT host, t, line, count(*) * (len(line) - len(replace(line, ' ', '')) + 1) AS n FROM ln GROUP BY host, t, line),
-nt AS (SELECT host, count(DISTINCT t) AS n_texts FROM d GROUP BY host),
+  SELECT doc_id, host, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, host, t, unnest(l) AS x FROM d)),
 fr AS (
-  SELECT host, line FROM (SELECT host, line, count(*) AS c FROM held GROUP BY host, line) JOIN nt USING (host)
-  WHERE c > 50 AND c > 0.2 * n_texts),
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS c, count(DISTINCT t) AS k FROM ln GROUP BY host, line)
+  JOIN (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host) USING (host)
+  WHERE c > 50 AND k > 50 AND c > 0.05 * n),
+held AS (SELECT doc_id, host, line, len(line) - len(replace(line, ' ', '')) + 1 AS n FROM ln),
 sh AS (
-  SELECT host, t, sum(CASE WHEN fr.line IS NOT NULL THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS removed
-  FROM held LEFT JOIN fr USING (host, line) GROUP BY host, t),
+  SELECT doc_id, sum(CASE WHEN fr.line IS NOT NULL THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS removed
+  FROM held LEFT JOIN fr USING (host, line) GROUP BY doc_id),
 s AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, len(list_aggregate(w || [''], 'string_agg', ''))::BIGINT AS word_chars,
          (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          coalesce(sh.removed, 0.0)::DOUBLE AS removed_share
-  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN sh USING (host, t)),
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN sh USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_share,
        NOT base_failed AND NOT (1 - removed_share < 0.3) AS kept

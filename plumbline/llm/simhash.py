@@ -17,6 +17,7 @@ Defined results
 ---------------
 * A null or wordless text has fingerprint zero and links like any other.
 * Fewer than three words: the whole sequence is the one shingle.
+* A text of any length is read whole. A bit that is set in exactly half the hashes is 0.
 * Repeated rows give repeated result rows; a null ``doc_id`` is never a
   component's id unless the component has no other.
 * An empty table gives an empty result. Only the two named columns are read.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import documents, stored, text_of
+from plumbline.llm.base import documents, looked_up, stored, text_of
 from plumbline.llm.components import components
 
 RADIUS = 3
@@ -130,7 +131,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     groups = firsts.join(of, "fp").groupBy("component").agg(F.min("first_id").alias("least_id"))
     merged = of.join(groups, "component").select("fp", "least_id")
     final = stored(firsts.join(merged, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
-    return fps.join(final, "fp").select("doc_id", "fp", "component_id")
+    return looked_up(fps, final, ["fp"], "inner").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blob string, fp long, words string"
+#: Names that the operators use inside are other columns here.
+CLASHES = "_hash string, _host string, _found string, _row string, host string, text_hash string, found string, kept string, _new string, line string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blob string, fp long, words string, " + CLASHES
 
 
 def words(rng, n, letters="abcdefg"):
@@ -38,4 +40,5 @@ def rows():
 
 
 def table(spark, data=None):
-    return spark.createDataFrame(rows() if data is None else data, SCHEMA)
+    data = rows() if data is None else data
+    return spark.createDataFrame([(*r, *["mine"] * CLASHES.count(" string")) for r in data], SCHEMA)

@@ -40,13 +40,26 @@ def test_quality_rules(docs, empty):
             assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
     assert quality_rules.quality_rules(empty).count() == 0
     assert quality_rules.kept_documents(docs).columns == docs.columns
-    assert quality_rules.kept_documents(docs).count() == sum(r.kept for rs in got.values() for r in rs)
-
-
-def test_frequent_lines_deplete(spark):
-    data = [(k, "menu one\nmenu two\n" + ("word%d " % k) * (1 if k < 80 else 60), "en", "h", 0, "", 0, "") for k in range(100)]
-    got = by_id(quality_rules.line_verdicts(corpus.table(spark, data)).withColumnRenamed("text_hash", "doc_id"))
-    assert sum(r[0].depleted for r in got.values()) == 80 and len(got) == 100
+    kept = quality_rules.kept_documents(docs).collect()
+    assert len(kept) == sum(r.kept for rs in got.values() for r in rs) and all(r._hash == r._host == r.found == "mine" for r in kept)
+    assert quality_rules.quality_rules(docs).filter("kept").count() == len(kept)
+
+
+def test_frequent_lines_go_and_deplete(spark):
+    """100 documents of one host with two menu lines; 80 have hardly more. Copies of one text make no line frequent."""
+    menu = "Menu  one\nmenu two\n"
+    data = [(k, menu + ("word%d " % k) * (1 if k < 80 else 60), "en", "h", 7, "", 0, "") for k in range(100)]
+    data += [(100 + k, "the very same line of a copied text\n" * 3 + "other words", "en", "h", 7, "", 0, "") for k in range(200)]
+    docs = corpus.table(spark, data)
+    limits = {"min_words": 1, "max_repeat_percent": 100}
+    got = by_id(quality_rules.quality_rules(docs, **limits))
+    assert all(got[k][0].kept == (k >= 80) for k in got) and all(got[k][0].removed_share == 0 for k in range(100, 300))
+    assert got[0][0].removed_share == pytest.approx(4 / 5) and got[90][0].removed_share == pytest.approx(4 / 64)
+    for most in (200_000, 0):  # broadcast or shuffled
+        kept = by_id(quality_rules.kept_documents(docs, most_broadcast=most, **limits))
+        assert set(kept) == set(range(80, 300))
+        assert all(kept[k][0].text == ("word%d " % k) * 60 and kept[k][0].n_chars == len(kept[k][0].text) for k in range(80, 100))
+        assert kept[100][0].text == data[100][1] and kept[100][0].n_chars == 7 and kept[90][0].host == "mine" and kept[90][0]._hash == "mine"
 
 
 def test_simhash(docs, empty):
@@ -119,7 +132,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     got = by_id(packing.packed(docs))
     for doc, text in texts():
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
@@ -157,14 +169,19 @@ def test_plan_fills_sequences():
 
 
 def test_encoder_is_exact():
+    from tokenizers import Tokenizer
+
     e = tokens.Encoder(tokens.default_path(), most=5)
-    t = [x for _, x in texts()] + ["a  b\n\n c", "  x ", "a\n", "<|endoftext|> hi", "a\x1cb !\x1c!", "é　b", "x" * 5000]
-    ref = [np.array(x.ids, dtype="<u4").tobytes() for x in e.tokenizer.encode_batch(t, add_special_tokens=False)]
+    t = [x for _, x in texts()] + ["<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n\nc <|endoftext|><|endoftext|>", "x  \n<|endoftext|>  y", "word " * 450_000, "a  b\n\n c", "  x ", "a\n", "<|endoftext|> hi", "a\x1cb !\x1c!", "é　b", "x" * 5000]
+    plain = Tokenizer.from_file(tokens.default_path())
+    ref = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(t, add_special_tokens=False)]
+    assert np.frombuffer(ref[len(texts())], dtype="<u4").tolist() == [plain.token_to_id("<|endoftext|>")]
     assert e.ids(t) == ref and e.ids(t[::-1]) == ref[::-1]
 
 
-@pytest.mark.parametrize("window", [50, 7])
-def test_substring_dedup(docs, empty, window):
+@pytest.mark.parametrize(("window", "shard"), [(50, 200), (7, 200), (50, 1)])
+def test_substring_dedup(docs, empty, window, shard, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_DOCS", shard)  # 1: every anchor is dealt over many shards
     w = {d: t.encode().split() for d, t in texts()}
     owner = {}
     for d in sorted(x for x in w if x is not None):
@@ -182,6 +199,9 @@ def test_license_scan(docs, empty):
     model = licenses.train(docs)
     found = licenses.license_scan(docs, model).filter("confirmed").collect()
     assert [(r.doc_id, r.paragraph, r.start, r.end, r.family) for r in found] == [(13, 0, 0, 47, "Apache-2.0")]
+    wrapped = "intro\n" + "\n".join(["# Permission is hereby granted, free of charge, to any", "# person obtaining a copy of this software and", "# associated documentation files"]) + "\n\nother"
+    assert [(n, a, b, f) for n, a, b, f, *_ in licenses.findings(model, wrapped, 0.5)] == [(1, 6, wrapped.index("\n\n"), "MIT")]
+    assert [f[3] for f in licenses.findings(model, "x\nAll rights reserved.\ny", 0.5)] == ["proprietary"]
     for family, templates in licenses.TEMPLATES.items():
         for t in templates:
             assert model.predict("some words first " + t)[0] == family, t
@@ -302,12 +322,17 @@ def test_decontamination(spark, docs, empty):
             if mine and 5 * len(mine & shingles(t)) >= 4 * len(mine):
                 want[d, r.item_id] = len(mine & shingles(t)) / len(mine)
     assert got == want and {(4, 1), (5, 1), (8, 4), (9, 4)} <= set(want)
-    assert {r["doc_id"] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in decontamination.decontaminated(docs, items).collect()} == {d for d, _ in want}
+    clean = decontamination.decontaminated(docs, items).collect()
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in clean} == {d for d, _ in want}
+    assert all(r.text_hash == r._hash == "mine" for r in clean)
     assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
 def test_token_counts(spark, docs, empty, tmp_path):
-    plain = {d: len(tokens.Encoder(tokens.default_path()).ids([t])[0]) // 4 for d, t in texts()}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    plain = {d: len(t.encode(x, add_special_tokens=False).ids) for d, x in texts()}
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
     assert ledger.totals().count() == 0
     assert ledger.commit("a", token_counts.signed(docs, 1)) and not ledger.commit("a", token_counts.signed(docs, 1))
@@ -324,6 +349,24 @@ def test_token_counts(spark, docs, empty, tmp_path):
     assert total() == (len(texts()) - 1, n - plain[12] - plain[8] + 3)
     ledger.commit("d", token_counts.signed(empty, 1))
     assert total()[0] == len(texts()) - 1
+    from plumbline.llm import base
+
+    one = spark.createDataFrame([("s", "en", "v", 1, 1, 1)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_chars long")
+    assert not base.published(one, ledger.path, "d") and total()[0] == len(texts()) - 1  # another job's batch of that id was first
+
+
+def test_token_counts_query_equals_plain_counts(spark):
+    """After inserts, revisions, deletes and a batch sent twice: SQL over the library's own counts."""
+    import duckdb
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    sf, t = "/root/testdata/sf0.001", Tokenizer.from_file(tokens.default_path())
+    table = duckdb.sql(f"SELECT source, lang, coalesce(text, '') AS text FROM '{sf}/documents.parquet'").df()
+    counts = pd.DataFrame({"source": table.source, "lang": table.lang, "n": [len(t.encode(x, add_special_tokens=False).ids) for x in table.text], "chars": table.text.str.len()})
+    want = duckdb.sql("SELECT source, lang, count(*), sum(n)::BIGINT, sum(chars)::BIGINT FROM counts GROUP BY 1, 2").fetchall()
+    got = token_counts.op8_token_counts(spark, sf).collect()
+    assert sorted((r.source, r.lang, r.n_docs, r.n_tokens, r.n_chars) for r in got) == sorted(want)
 
 
 def test_quality_classifier(spark):
@@ -376,16 +419,35 @@ def test_secret_scan(docs, empty, tmp_path):
     for d, t in texts():
         assert all(r.s.split(",") == (plain_spans(t) or [""]) for r in got[d]), d
     assert secrets.secret_scan(empty, str(tmp_path / "none")).count() == 0
-    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, found).collect()}
+    rows = secrets.redacted(docs, found).collect()
+    assert all(r.blob == "clash" and r.kept == r._found == "mine" and r.n_chars in (None, len(r.text or "")) for r in rows)
+    assert "n_chars" not in secrets.redacted(docs.drop("n_chars"), found).columns
+    renamed = secrets.redacted(docs.withColumnRenamed("text", "body"), found, text="body").collect()
+    assert sorted((r.doc_id or 0, r.body or "") for r in renamed) == sorted((r.doc_id or 0, r.text or "") for r in rows)
+    clean = {r["doc_id"]: r["text"] for r in rows}
     assert clean[11] == "[SECRET]\" and [SECRET] then [SECRET]" and clean[1] == texts()[0][1] and clean[7] is None
 
 
+def test_many_matches_in_one_text(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    parts = [rng.choice(["token = abcdefgh%d" % k, "AKIA" + "B" * 12 + "%d" % k, "secret=short", "0123456789abcdef" * 2, "plain \U0001f600 words", "password: " + "0a" * 20]) for k in range(4000)]
+    docs = corpus.table(spark, [(1, " ".join(parts), "en", "s", 0, "", 0, "")])
+    found = secrets.secret_scan(docs, str(tmp_path / "l"))
+    from pyspark.sql import functions as F
+
+    assert found.select(secrets.shown(F.col("found")).alias("s")).first().s.split(",") == plain_spans(" ".join(parts))
+    left = secrets.redacted(docs, found).first().text
+    assert not plain_spans(left) and left.count("plain \U0001f600 words") == parts.count("plain \U0001f600 words")
+
+
 def test_ledger_scans_new_blobs_only(spark, docs, tmp_path):
     ledger = secrets.BlobLedger(spark, str(tmp_path / "l"))
     ledger.commit("one", docs.filter("doc_id < 10"))
     n = ledger.findings().count()
     ledger.commit("one", docs)  # the batch is there: nothing happens
     assert ledger.findings().count() == n
+    with pytest.raises(Exception, match="the ledger lacks blob"):
+        ledger.report(docs).collect()
     ledger.commit("two", docs)
     assert ledger.findings().count() == docs.select("text").na.fill("").distinct().count()
     ledger.commit("three", docs, rule_version="other")
