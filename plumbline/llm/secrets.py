@@ -4,17 +4,23 @@ Every version of a file is addressed by the SHA-256 of its content. The ledger
 holds the (blob, rule version) pairs that have been scanned, and their
 findings; a run scans only pairs that the ledger has not seen and joins the
 findings back to all paths that hold the blob. Batches are folders named by
-their batch id: a batch that is given again replaces nothing and adds nothing.
+their batch id, put there by one rename: a batch that is given again, or that
+two jobs commit at once, replaces nothing and adds nothing.
+
+The gaps and lengths of a text's matches are rows; running sums over them give
+the positions, so nothing is copied at every match.
 
 Positions count code points from 0, the end is exclusive. Matches are leftmost
 and do not overlap within a kind; spans of different kinds may.
 
 Defined results
 ---------------
-* A null text is the empty blob; it has no findings.
-* Repeated rows and copies are scanned once and all reported.
+* A null text is the empty blob; it has no findings. A text of any length is scanned whole.
+* Repeated rows and copies are scanned once and all reported. Spans that start alike are ordered by kind.
 * An empty table gives an empty result. Null ids are kept as they are.
-* Only the named columns of the input are read.
+* Only the named columns of the input are read; all others, whatever their names, are kept.
+  Where there is an ``n_chars``, it follows a redacted text.
+* A report on a document that no batch has committed fails.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plumbline.llm.base import broadcast_if, documents, shared_dir, stored, text_of
+from plumbline.llm.base import batches, broadcast_if, carried, documents, looked_up, published, shared_dir, stored, text_of, with_text
 
 RULE_VERSION = "2026-11-b"
 #: A private key with its body: up to the END line, or as long as base64 goes on where that is missing.
@@ -45,26 +52,28 @@ RULES = (
     ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0),
 )
 BASE_KINDS = ("assign", "access", "hex")
-_SPAN = "struct<start:int,kind:int,end:int>"
+_MARKS = "array<struct<kind:int,place:int,gap:int,size:int,ok:boolean>>"
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(text: Column, order: int, pattern: str, least: int) -> Column:
-    """The spans of one kind as array<struct<start, kind, end>>; start sorts first."""
+def _marks(text: Column, kind: int, pattern: str, least: int) -> Column:
+    """The matches of one kind in order: characters since the last match, own length, and whether the rule takes it."""
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     long = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda g: F.length(g) >= least) if least else F.transform(whole, lambda g: F.lit(True))
     parts = F.arrays_zip(F.slice(F.transform(pieces, lambda p: F.length(p)), 1, F.size(whole)).alias("gap"), F.transform(whole, lambda m: F.length(m)).alias("size"), long.alias("ok"))
-    first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("found"))
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + x["size"]).alias("at"),
-        F.when(x["ok"], F.array_append(a["found"], F.struct((a["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind"), (a["at"] + x["gap"] + x["size"]).alias("end")))).otherwise(a["found"]).alias("found"),
-    )
-    none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    return F.when(text.rlike(pattern), F.aggregate(parts, first, step, lambda a: a["found"])).otherwise(none)
+    found = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), x["gap"].alias("gap"), x["size"].alias("size"), x["ok"].alias("ok")))
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {_MARKS})"))
 
 
 def scan(blobs: DataFrame, *, text: str = "text") -> DataFrame:
-    """Adds ``found``: all spans of the text by start, then kind."""
-    return blobs.withColumn("found", F.sort_array(F.concat(*[_spans(F.col(text), k, p, n) for k, (_, p, n) in enumerate(RULES)])))
+    """(blob, found) of each blob: all spans of its text by start, then kind."""
+    marked = stored(blobs.select("blob", F.concat(*[_marks(F.col(text), k, p, n) for k, (_, p, n) in enumerate(RULES)]).alias("marks")).dropDuplicates(["blob"]))
+    upto = Window.partitionBy("blob", "kind").orderBy("place")
+    placed = marked.select("blob", F.inline("marks")).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")).filter("ok")
+    spans = placed.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end"))).alias("found"))
+    none = F.expr(f"cast(array() as {_SPANS})")
+    bare = marked.filter(~F.exists("marks", lambda x: x["ok"])).select("blob", none.alias("found"))
+    return spans.unionByName(bare)
 
 
 def shown(found: Column) -> Column:
@@ -90,39 +99,35 @@ def new_blobs(docs: DataFrame, seen: DataFrame | None, *, doc_id: str = "doc_id"
 class BlobLedger:
     """Findings by (blob, rule version), kept as batch folders below ``path``.
 
-    ``commit`` is idempotent: the batch is written whole under a folder of its
-    id, and an id that is there already is left alone. A blob that is given
-    again, in whatever batch, is not scanned again.
+    ``commit`` is idempotent: an id that is there already is left alone. A blob
+    that is given again, in whatever batch, is not scanned again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _done(self, batch: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}/_SUCCESS")
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
     def findings(self) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/_SUCCESS")
-        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
-        if not there:
-            return None
-        return self.spark.read.parquet(*[str(x.getPath().getParent().toString()) for x in there])
+        there = batches(self.spark, self.path)
+        return self.spark.read.parquet(*there) if there else None
 
     def commit(self, batch: str, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> None:
-        if self._done(batch):
+        if batches(self.spark, self.path, batch):
             return
         old = self.findings()
         fresh = new_blobs(docs, None if old is None else old.select("blob", "rule_version"), doc_id=doc_id, text=text, rule_version=rule_version)
-        scan(fresh).select("blob", F.lit(rule_version).alias("rule_version"), "found").dropDuplicates(["blob"]).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        published(scan(fresh).select("blob", F.lit(rule_version).alias("rule_version"), "found"), self.path, batch)
 
     def report(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-        """(doc_id, blob, found) of every row of ``docs``; all its blobs must have been committed."""
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(text_of(text), 256).alias("blob"))
-        known = self.findings().filter(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("found").alias("found"))
-        return rows.join(known, "blob").select("doc_id", "blob", "found")
+        """(doc_id, blob, found) of every row of ``docs``; fails if a blob was never committed."""
+        rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.sha2(text_of(text), 256).alias("blob")))
+        found = self.findings()
+        if found is None:
+            known = self.spark.createDataFrame([], f"blob string, found {_SPANS}")
+        else:
+            # two jobs at once may both have scanned a blob, with one result
+            known = stored(found.filter(F.col("rule_version") == rule_version).select("blob", "found").dropDuplicates(["blob"]))
+        unknown = F.raise_error(F.concat(F.lit("the ledger lacks blob "), F.col("blob"))).cast(_SPANS)
+        return looked_up(rows, known, ["blob"]).select("doc_id", "blob", F.coalesce("found", unknown).alias("found"))
 
 
 def secret_scan(docs: DataFrame, ledger_path: str, batch: str = "all") -> DataFrame:
@@ -132,23 +137,25 @@ def secret_scan(docs: DataFrame, ledger_path: str, batch: str = "all") -> DataFr
     return ledger.report(docs)
 
 
-def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", *, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``found`` (blob, found) replaced; overlapping spans become one mark."""
-    some = stored(found.filter(F.size("found") > 0).select(F.col("blob").alias("_blob"), F.col("found").alias("_found")).dropDuplicates(["_blob"]))
-    rows = docs.withColumn("_blob", F.sha2(text_of(), 256)).join(broadcast_if(some, some.count(), 100_000), "_blob", "left")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    t = F.col("text")
-    step = lambda a, x: F.when(
-        x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out"))
-    ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-    clean = F.aggregate("_found", first, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    text = F.when(F.col("_found").isNull(), t).otherwise(clean)
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    some = found.filter(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"])
+    before = Window.partitionBy("blob").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = some.select("blob", F.inline("found")).withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0)))
+    opens = F.when(F.col("start") >= F.col("upto"), F.struct(F.col("upto").alias("at"), (F.col("start") - F.col("upto")).alias("n")))
+    kept = stored(spans.groupBy("blob").agg(F.sort_array(F.collect_list(opens)).alias("kept"), F.max("end").alias("last")))  # the text between the spans
+    rows = docs.select(carried(docs), F.sha2(text_of(text), 256).alias("blob"))
+    few = kept.count()
+    joined = rows.join(broadcast_if(kept, few, 100_000), "blob", "left") if few <= 100_000 else looked_up(rows, kept, ["blob"])
+    t = F.col("_row")[text]
+    parts = F.transform("kept", lambda x: F.substring(t, x["at"] + 1, x["n"]))
+    rest = F.substring(t, F.col("last") + 1, F.length(t))
+    return with_text(joined, docs.columns, text, F.array_join(F.concat(parts, F.array(rest)), mark), F.col("kept").isNotNull())
 
 
 def fresh_ledger(spark: SparkSession) -> str:
     """A new ledger's folder among the shared ones."""
-    return f"{shared_dir(spark).rstrip('/')}/ledger/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/ledger/{uuid.uuid4().hex}"
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
