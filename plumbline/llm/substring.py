@@ -20,6 +20,7 @@ one anchor's patterns and one passage at a time.
 
 Defined results
 ---------------
+* A text of any length is read whole, ``BLOCK`` words at a time. Of equal texts the one of the smallest doc_id keeps its words.
 * A null text has no words: kept_sha256 is that of the empty string.
 * Fewer words than a window: nothing is removed.
 * Rows of one doc_id don't remove one another; repeated rows give repeated results.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import documents, stored, text_of
+from plumbline.llm.base import documents, looked_up, stored, text_of
 
 WINDOW, GRAM = 50, 16
 #: Documents of one anchor that one shard takes.
@@ -241,8 +242,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     gram = min(gram, window)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
     found = stored(profiles(rows, window, gram))
-    firsts = found.groupBy("sha256").agg(F.min("doc_id").alias("first_id"))
-    reps = found.filter(F.col("n_words") >= window).join(firsts, "sha256").filter(F.col("doc_id") == F.col("first_id"))
+    firsts = stored(found.groupBy("sha256").agg(F.min("doc_id").alias("first_id")))
+    brief = stored(looked_up(found.select("doc_id", "text_hash", "n_words", "sha256"), firsts, ["sha256"]))
+    reps = found.filter(F.col("n_words") >= window).join(brief.filter(F.col("doc_id") == F.col("first_id")).select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
     held = reps.select("doc_id", "text_hash", F.explode("anchors").alias("anchor"))
     recurring = stored(held.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", F.ceil(F.col("n") / SHARD_DOCS).cast("int").alias("shards")))
     lists = held.join(recurring, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "shards")).alias("l"))
@@ -252,7 +254,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     passages = _passages(texts.join(owned, "doc_id", "left"), window, gram)
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sharded = passages.repartition(int(n), "anchor", "shard").sortWithinPartitions("anchor", "shard", "is_text")
-    return found.join(firsts, "sha256"), texts, stored(_located(sharded, window))
+    return brief, texts, stored(_located(sharded, window))
 
 
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW, **how) -> DataFrame:
