@@ -41,7 +41,7 @@ from plumbline.llm.base import documents, looked_up, stored, text_of
 
 WINDOW, GRAM = 50, 16
 #: Documents of one anchor that one shard takes.
-SHARD_DOCS = 200
+SHARD_DOCS = 50
 #: Words that are hashed at a time.
 BLOCK = 200_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
