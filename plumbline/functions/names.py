@@ -18,7 +18,7 @@ def soundex(name: Column) -> Column:
     codes = F.translate(F.regexp_replace(letters, r"[^BFPVCGJKQSXZDTLMNR]", "0"), "".join(SOUND), "".join(SOUND.values()))
     # a run of one code counts once; 0 stands between runs, then goes
     runs = F.regexp_replace(codes, r"([0-6])\1+", "$1")
-    rest = F.replace(F.substring(runs, 2, 1 << 20), F.lit("0"), F.lit(""))
+    rest = F.replace(F.substring(runs, F.lit(2), F.length(runs)), F.lit("0"), F.lit(""))
     return F.when(letters == "", F.lit("")).otherwise(F.rpad(F.concat(F.substring(letters, 1, 1), F.substring(rest, 1, 3)), 4, "0"))
 
 

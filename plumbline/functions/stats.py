@@ -1,9 +1,8 @@
 """Order statistics and dispersion over one column.
 
 The percentile rules pick a whole element by index; none equals
-``percentile_disc``. The element of index k among n is the one at which
-``percentile_disc`` of (k + 1/2) / n stands, which merges value counts in
-partial aggregates and needs no sort of all rows in one task.
+``percentile_disc``. Values are counted, then placed by running sums within
+ranges of values, so no task sees them all.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.session import cut
+
 
 def index_of(rule: int, n: int, p: float) -> int:
     """The 0-based index of a percentile rule.
@@ -30,13 +31,26 @@ def index_of(rule: int, n: int, p: float) -> int:
     return max(0, min(k, n - 1))
 
 
+def running(counts: DataFrame, value: str, n: str = "c") -> DataFrame:
+    """counts(value, n), one row for each value -> with ``before``, the sum of n below it, without one order in one task.
+
+    Ranges of values are sums of their own; an offset for each range is a sum
+    over the ranges, of which there are as many as shuffle partitions.
+    """
+    ranged = cut(counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum(n).alias("s"))
+    offsets = sums.select("_range", F.coalesce(F.sum("s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(F.broadcast(offsets), "_range").withColumn("before", F.col("_offset") + F.col("_inside")).drop("_range", "_offset", "_inside")  # a row for each range is broadcast
+
+
 def percentile(df: DataFrame, column: str, p: float, rule: int = 1) -> DataFrame:
     """One row (value): the element that the rule picks; null for no rows. Nulls don't count."""
-    n = df.filter(F.col(column).isNotNull()).count()
-    if not n:
-        return df.agg(F.max(column).alias("value"))
-    q = (index_of(rule, n, p) + 0.5) / n
-    return df.agg(F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY `{column}`)").alias("value"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
+    placed = running(counts, "value")
+    n = placed.agg(F.sum("c")).first()[0]
+    k = index_of(rule, n, p) if n else 0
+    return placed.filter((F.col("before") <= k) & (F.col("before") + F.col("c") > k)).agg(F.max("value").alias("value"))
 
 
 def entropy(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -58,10 +72,9 @@ def histogram(df: DataFrame, column: str, width: float, buckets: int, last_open:
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:
-    """(gini): from the distinct values' counts, so that only they are put in order."""
+    """(gini): from the distinct values' counts and the running sums over them."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    ranked = running(counts, "x")
     # ranks before+1 .. before+c all hold x
     weighted = F.sum(F.col("x") * (F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2))
     n, total = F.sum("c"), F.sum(F.col("x") * F.col("c"))

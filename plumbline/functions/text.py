@@ -26,6 +26,7 @@ STRICT = (
     (r"(?i)\b(SECURITY|VULN|CVE):", "Security", "Critical"),
 )
 SEVERITIES = ("Low", "Medium", "High", "Critical")
+#: Fixed value: a literal that is assigned to a secret name.
 SECRET = r"""(?i)(password|api_key|secret)\s*=\s*["'][^"']+["']"""
 
 
@@ -33,8 +34,8 @@ def comment_text(line: Column) -> Column:
     """The text of a line that is a comment as a whole; null for any other line."""
     t = F.trim(line)
     return (
-        F.when(t.startswith("//"), F.trim(F.substring(t, 3, 1 << 20)))
-        .when(t.startswith("#"), F.trim(F.substring(t, 2, 1 << 20)))
+        F.when(t.startswith("//"), F.trim(F.substring(t, F.lit(3), F.length(t))))
+        .when(t.startswith("#"), F.trim(F.substring(t, F.lit(2), F.length(t))))
         .when(t.startswith("/*") & t.endswith("*/") & (F.length(t) >= 4), F.trim(F.regexp_extract(t, r"(?s)^/\*(.*)\*/$", 1)))
         .when(t.startswith("<!--") & t.endswith("-->") & (F.length(t) >= 7), F.trim(F.regexp_extract(t, r"(?s)^<!--(.*)-->$", 1)))
     )
@@ -47,11 +48,19 @@ def comment_column(line: Column) -> Column:
 
 
 def debt_pattern(text: Column, patterns=DEBT) -> Column:
-    """Index of the first pattern that matches; null for none."""
-    found = F.lit(None).cast("int")
-    for k, (pattern, _, _) in reversed(list(enumerate(patterns))):
-        found = F.when(text.rlike(pattern), k).otherwise(found)
-    return found
+    """Index of the first pattern that matches; null for none.
+
+    The text is bound to a lambda variable: inlined, the expression that makes
+    it would be compiled once for each pattern.
+    """
+
+    def of(t: Column) -> Column:
+        found = F.lit(None).cast("int")
+        for k, (pattern, _, _) in reversed(list(enumerate(patterns))):
+            found = F.when(t.rlike(pattern), k).otherwise(found)
+        return found
+
+    return F.get(F.transform(F.array(text), of), F.lit(0))
 
 
 def _of_pattern(index: Column, patterns, part: int) -> Column:

@@ -1,12 +1,14 @@
 """Graph operators over edges(from, to[, weight, edge_type]) and nodes(id).
 
-Loops are bounded rounds of joins and aggregations; each round's table is
+Loops are rounds of joins and aggregations that end when nothing is new; each round's table is
 checkpointed, so neither the plan nor a lost executor's work grows with the
 rounds.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,11 +96,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 10, damping: f
     return rank
 
 
-def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, most: int = 64) -> DataFrame:
-    """(source, id, distance) of every node that a source reaches, the source itself at 0, by breadth-first rounds."""
+def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(source, id, distance) of every node that a source reaches, the source itself at 0, by breadth-first rounds until none is new.
+
+    The table has a row for each pair: give ``sources`` on a large graph.
+    """
     start = (sources or nodes).select(F.col("id").alias("source"), "id", F.lit(0).alias("distance"))
     seen, front, steps = cut(start), start, edges.select("from", "to").filter(F.col("from") != F.col("to")).distinct()
-    for k in range(1, most + 1):
+    for k in count(1):
         front = front.join(steps, front["id"] == steps["from"]).select("source", F.col("to").alias("id")).distinct().join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("distance", F.lit(k))
         front = cut(front)
         if not front.limit(1).count():
@@ -107,11 +112,11 @@ def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = No
     return seen
 
 
-def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame, most: int = 1000) -> DataFrame:
+def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(id) of the nodes that any entry reaches, entries included; cycles end with the frontier."""
     front = seen = cut(entries.join(nodes.select("id"), "id", "left_semi").select("id").distinct())
     steps = edges.select("from", "to")
-    for _ in range(most):
+    while True:
         front = cut(front.join(steps, front["id"] == steps["from"]).select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
         if not front.limit(1).count():
             break
@@ -136,11 +141,11 @@ def betweenness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").crossJoin(F.broadcast(n)).select("id", F.round(F.when(F.col("n") > 2, F.coalesce("c", F.lit(0)) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0), 6).alias("betweenness"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that a node reaches when directions don't count."""
     both = cut(edges.select("from", "to").union(edges.select(F.col("to"), F.col("from"))).distinct())
     label = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(most):
+    while True:
         got = both.join(label, both["from"] == label["id"]).groupBy(F.col("to").alias("id")).agg(F.min("component").alias("low"))
         new = label.join(got, "id", "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"))
         # a label's own label: halves the rounds along a path
@@ -149,7 +154,20 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
         if not new.join(label.withColumnRenamed("component", "old"), "id").filter(F.col("component") != F.col("old")).limit(1).count():
             return new
         label = new
-    return label
+
+
+def hubs(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """The k nodes of the highest degree and rank together, ties by id."""
+    found = degrees(nodes, edges).join(pagerank(nodes, edges, normalised=True), "id")
+    score = F.round(F.col("degree_centrality") + F.col("rank"), 6)
+    return found.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def pruned(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k nodes of the highest fixed-round rank, and the edges between them."""
+    ranks = pagerank(nodes, edges).select("id", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "id").limit(k)
+    kept = nodes.join(F.broadcast(ranks.select("id")), "id", "left_semi")  # k rows are broadcast
+    return kept, without_dangling(edges, kept)
 
 
 def component_edges(edges: DataFrame, members: DataFrame) -> DataFrame:

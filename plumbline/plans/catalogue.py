@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.functions import names as nm
 from plumbline.functions import scoring as sc
@@ -109,7 +108,7 @@ def tdg_histogram(spark, d):
 def tdg_percentile(spark, d):
     g = _gradient(spark, d)
     counts = g.groupBy("value").agg(F.count("*").alias("c"))  # ranks over the distinct values only
-    below = counts.withColumn("below", F.coalesce(F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = stats.running(counts, "value").withColumnRenamed("before", "below")
     n = counts.agg(F.sum("c").alias("n"))
     return g.join(below, "value").crossJoin(F.broadcast(n)).select("path", F.round(100.0 * F.col("below") / F.col("n"), 6).alias("percentile"))
 
@@ -269,10 +268,11 @@ def byte_entropy(spark, d):
     return table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.round(trees.byte_entropy(F.col("text")), 6).alias("entropy"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, text, octet_length(encode(text)) AS n, list_max(list_transform(string_split(text, chr(10)), lambda l: octet_length(encode(l)))) AS longest, len(text) - len(replace(text, chr(10), '')) AS breaks FROM documents)
-SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n > 1048576 THEN 'too_large' WHEN n > 512000 THEN 'large' WHEN longest > 10000 THEN 'long_line' WHEN breaks / n < 0.001 THEN 'minified' END AS reason FROM x""")
+@query(r"""WITH b AS (SELECT doc_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 2048), '..')) AS v FROM documents), c AS (SELECT doc_id, v, count(*) AS n FROM b GROUP BY 1, 2),
+h AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM c GROUP BY doc_id), x AS (SELECT doc_id, text, octet_length(encode(text)) AS n, list_max(list_transform(string_split(text, chr(10)), lambda l: octet_length(encode(l)))) AS longest, len(text) - len(replace(text, chr(10), '')) AS breaks FROM documents)
+SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n > 1048576 THEN 'too_large' WHEN n > 512000 THEN 'large' WHEN longest > 10000 THEN 'long_line' WHEN breaks / n < 0.001 OR entropy > 6 THEN 'minified' END AS reason FROM x LEFT JOIN h USING (doc_id)""")
 def parse_decision(spark, d):
-    t = table(spark, d, "documents").withColumn("entropy", F.lit(0.0))
+    t = table(spark, d, "documents").withColumn("entropy", trees.byte_entropy(F.col("text")))
     return t.select("doc_id", trees.skip_reason(F.concat_ws("/", F.lit("src"), "source"), F.col("text"), F.col("entropy")).alias("reason"))
 
 
@@ -316,14 +316,14 @@ def shingle_sets(spark, d):
 
 @query()
 def minhash_pairs(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.slice(F.split("text", r"\s+"), 1, 1 << 30).alias("tokens"))
-    return clones.similar_pairs(docs, hashes=40, bands=8)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", r"\s+").alias("tokens"))
+    return clones.similar_pairs(docs)
 
 
 @query()
 def clone_groups(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", r"\s+").alias("tokens"))
-    return clones.clone_groups(docs, hashes=40, bands=8)
+    return clones.clone_groups(docs)
 
 
 # --- names
@@ -418,10 +418,10 @@ def defect_hotspots(spark, d):
     return facts.defect_summary(roles.defects(spark, d)).orderBy(F.desc("weight"), "path").limit(10)
 
 
-@query(with_("defects") + "SELECT id, path, severity FROM defects ORDER BY CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, path, id LIMIT 100")
+@query(with_("defects") + "SELECT id, path, severity FROM defects ORDER BY CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, path, id")
 def defect_order(spark, d):
     order = F.array_position(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")]), F.col("severity"))
-    return roles.defects(spark, d).orderBy(order, "path", "id").limit(100).select("id", "path", "severity")
+    return roles.defects(spark, d).orderBy(order, "path", "id").select("id", "path", "severity")
 
 
 @query(with_("defects") + "SELECT path, array_to_string(list_sort(list(id)), ',') AS ids FROM defects GROUP BY path")
@@ -436,6 +436,11 @@ def _all(spark, d):
     return roles.graph(spark, d)
 
 
+def _calls(spark, d):
+    n, e = _all(spark, d)
+    return n, e.filter(F.col("edge_type") == "Calls")
+
+
 @query(with_("graph") + """SELECT id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, round((coalesce(i, 0) + coalesce(o, 0)) / ((SELECT count(*) FROM n) - 1), 6) AS degree_centrality
   FROM n LEFT JOIN (SELECT f AS id, count(*) AS o FROM e GROUP BY f) USING (id) LEFT JOIN (SELECT t AS id, count(*) AS i FROM e GROUP BY t) USING (id)""")
 def degree_centrality(spark, d):
@@ -482,26 +487,26 @@ def pagerank_converged(spark, d):
 
 @query(with_("graph", "paths", recursive=True) + "SELECT n.id, round(coalesce(((SELECT count(*) FROM n) - 1) / sum(d), 0), 6) AS closeness FROM n LEFT JOIN dist ON s = n.id AND d > 0 GROUP BY n.id")
 def closeness(spark, d):
-    n, e = _all(spark, d)
+    n, e = _calls(spark, d)
     return graphs.closeness(n, graphs.distances(n, e))
 
 
 @query(with_("graph", "paths", recursive=True) + """, p AS (SELECT * FROM dist WHERE d > 0), c AS (SELECT a.id, count(*) AS c FROM p AS a JOIN p AS b ON a.id = b.s JOIN p AS x ON x.s = a.s AND x.id = b.id WHERE a.s <> b.id AND a.d + b.d = x.d GROUP BY a.id)
 SELECT n.id, round(coalesce(c, 0) / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2)), 6) AS betweenness FROM n LEFT JOIN c USING (id)""")
 def betweenness(spark, d):
-    n, e = _all(spark, d)
+    n, e = _calls(spark, d)
     return graphs.betweenness(n, graphs.distances(n, e))
 
 
-@query(with_("graph", recursive=True) + """, u AS (SELECT f, t FROM e UNION SELECT t, f FROM e), w(id, c) AS (SELECT id, id FROM n UNION SELECT u.t, w.c FROM w JOIN u ON u.f = w.id) SELECT id, min(c) AS component FROM w GROUP BY id""")
+@query(with_("graph", recursive=True) + """, u AS (SELECT f, t FROM calls UNION SELECT t, f FROM calls), w(id, c) AS (SELECT id, id FROM n UNION SELECT u.t, w.c FROM w JOIN u ON u.f = w.id) SELECT id, min(c) AS component FROM w GROUP BY id""")
 def components(spark, d):
-    n, e = _all(spark, d)
+    n, e = _calls(spark, d)
     return graphs.components(n.select("id"), e)
 
 
-@query(with_("graph", recursive=True) + ", w(id) AS (SELECT 3 UNION SELECT e.t FROM w JOIN e ON e.f = w.id) SELECT id FROM w")
+@query(with_("graph", recursive=True) + ", w(id) AS (SELECT 3 UNION SELECT e.t FROM w JOIN calls AS e ON e.f = w.id) SELECT id FROM w")
 def reachability(spark, d):
-    n, e = _all(spark, d)
+    n, e = _calls(spark, d)
     return graphs.reachable(n, e, n.filter("id = 3"))
 
 
@@ -535,10 +540,10 @@ def component_metrics(spark, d):
     return n.join(out, "id", "left").na.fill(0, ["o"]).groupBy("component").agg(F.count("*").alias("nodes"), F.sum("o").alias("out_edges"), F.max("o").alias("most"))
 
 
-@query(with_("graph", recursive=True) + """, w(id) AS (SELECT id FROM n WHERE component = 0 UNION SELECT e.t FROM w JOIN e ON e.f = w.id)
+@query(with_("graph", recursive=True) + """, w(id) AS (SELECT id FROM n WHERE component = 0 UNION SELECT e.t FROM w JOIN calls AS e ON e.f = w.id)
 SELECT component, count(*) AS items, count(*) FILTER (id NOT IN (SELECT id FROM w)) AS dead, round(100.0 * count(*) FILTER (id NOT IN (SELECT id FROM w)) / count(*), 6) AS percent FROM n GROUP BY component""")
 def dead_summary(spark, d):
-    n, e = _all(spark, d)
+    n, e = _calls(spark, d)
     live = graphs.reachable(n, e, n.filter("component = 0")).withColumn("live", F.lit(True))
     dead = F.count(F.when(F.col("live").isNull(), 1))
     return n.join(live, "id", "left").groupBy("component").agg(F.count("*").alias("items"), dead.alias("dead"), F.round(100.0 * dead / F.count("*"), 6).alias("percent"))
@@ -656,8 +661,11 @@ def token_budget(spark, d):
 
 
 def queries() -> dict:
+    from plumbline.plans import code_catalogue  # noqa: F401  adds its queries
+
     return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in QUERIES.items() if sql}

@@ -41,17 +41,43 @@ def defects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nations and their 90 heaviest trade edges."""
+    """Nations and all trade edges between them, of five kinds."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("from"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("to"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "from")
     e = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").join(s, "l_suppkey").filter(F.col("from") != F.col("to")).groupBy("from", "to").agg(F.count("*").alias("weight"))
     kinds = F.array(*[F.lit(x) for x in ("Inherits", "Uses", "Implements", "Calls", "Imports")])
-    edges = e.orderBy(F.desc("weight"), "from", "to").limit(90).withColumn("edge_type", F.get(kinds, ((F.col("from") + F.col("to")) % 5).cast("int")))
+    edges = e.withColumn("edge_type", F.get(kinds, ((F.col("from") + F.col("to")) % 5).cast("int")))
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("component"))
     return nodes, edges
 
 
+def purchases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers, and who bought from whom: a sparse graph that grows with the data. Suppliers' ids are negative."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("from"))
+    edges = table(spark, d, "lineitem").select("l_orderkey", (-1 - F.col("l_suppkey")).alias("to")).join(o, "l_orderkey").groupBy("from", "to").agg(F.count("*").alias("weight"))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).union(table(spark, d, "supplier").select(-1 - F.col("s_suppkey")))
+    return nodes, edges
+
+
+def code_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of source, a user's events as a file."""
+    e, k = F.col("event_type"), F.col("event_id")
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    text = (
+        F.when(e == "click", say("pub fn handle_", k % 40, "(x: i32) {"))
+        .when(e == "view", say("    if x > ", k % 7, " && ready || done {"))
+        .when(e == "purchase", F.lit("}"))
+        .when((e == "signup") & (k % 3 == 0), say("use util_", k % 5, ";"))
+        .when((e == "signup") & (k % 3 == 1), say("struct Item_", k % 50, " { a: i32 }"))
+        .when(e == "signup", say("const LIMIT_", k % 9, " = 3;"))
+        .when(k % 4 == 0, F.lit("#[no_mangle]"))
+        .when(k % 4 == 1, F.lit("// TODO: for later, else return"))
+        .otherwise(say("    for value_", k % 20, " in items.iter() { // FIXME"))
+    )
+    return table(spark, d, "events").select(F.col("user_id").alias("path"), k.alias("line"), text.alias("text"))
+
+
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.sources.trees import lines
 
@@ -85,12 +111,18 @@ churn AS (SELECT per.*, round(least(1.0, 0.6 * commit_count / m.c + 0.4 * (addit
        WHEN regexp_matches(comment, '(?i)\\b(security|vuln|cve)\\b') THEN 'Critical' END AS severity
   FROM (SELECT event_id, path, CASE WHEN text LIKE '//%' THEN trim(substr(text, 3)) WHEN text LIKE '#%' THEN trim(substr(text, 2)) WHEN text LIKE '/*%*/' THEN trim(substr(text, 3, len(text) - 4)) WHEN text LIKE '<!--%-->' THEN trim(substr(text, 5, len(text) - 7)) END AS comment FROM comments)
   WHERE comment IS NOT NULL)""",
+    "code": """code AS (SELECT user_id AS path, event_id AS line, CASE WHEN event_type = 'click' THEN 'pub fn handle_' || (event_id % 40) || '(x: i32) {' WHEN event_type = 'view' THEN '    if x > ' || (event_id % 7) || ' && ready || done {'
+  WHEN event_type = 'purchase' THEN '}' WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'use util_' || (event_id % 5) || ';' WHEN event_type = 'signup' AND event_id % 3 = 1 THEN 'struct Item_' || (event_id % 50) || ' { a: i32 }'
+  WHEN event_type = 'signup' THEN 'const LIMIT_' || (event_id % 9) || ' = 3;' WHEN event_id % 4 = 0 THEN '#[no_mangle]' WHEN event_id % 4 = 1 THEN '// TODO: for later, else return' ELSE '    for value_' || (event_id % 20) || ' in items.iter() { // FIXME' END AS text FROM events)""",
+    "purchases": """pe AS (SELECT o_custkey AS f, -1 - l_suppkey AS t, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+pn AS (SELECT c_custkey AS id FROM customer UNION ALL SELECT -1 - s_suppkey FROM supplier)""",
     "defects": """defects AS (SELECT event_id AS id, user_id AS path, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, event_type AS category, value, ts FROM events)""",
     "graph": """trade AS (SELECT c_nationkey AS f, s_nationkey AS t, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-e AS (SELECT f, t, weight, ['Inherits', 'Uses', 'Implements', 'Calls', 'Imports'][1 + (f + t) % 5] AS edge_type FROM trade ORDER BY weight DESC, f, t LIMIT 90),
+e AS (SELECT f, t, weight, ['Inherits', 'Uses', 'Implements', 'Calls', 'Imports'][1 + (f + t) % 5] AS edge_type FROM trade),
+calls AS (SELECT f, t FROM e WHERE edge_type = 'Calls'),
 n AS (SELECT n_nationkey AS id, n_name AS label, n_regionkey AS component FROM nation)""",
-    "paths": """walk(s, id, d) AS (SELECT id, id, 0 FROM n UNION SELECT walk.s, e.t, d + 1 FROM walk JOIN e ON e.f = walk.id WHERE d < 24),
+    "paths": """walk(s, id, d) AS (SELECT id, id, 0 FROM n UNION SELECT walk.s, e.t, d + 1 FROM walk JOIN calls AS e ON e.f = walk.id WHERE d < 25),
 dist AS (SELECT s, id, min(d) AS d FROM walk GROUP BY s, id)""",
     "lines": r"""doclines AS (SELECT doc_id AS path, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[:-2] ELSE string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) END AS l FROM documents))""",
     "metrics": """metrics AS (SELECT path, returned / lines * 2 AS churn, most - 20 AS complexity, (lines - parts)::DOUBLE / lines AS duplication, (orders % 25)::DOUBLE AS afferent, (parts % 7)::DOUBLE AS efferent, lines AS loc

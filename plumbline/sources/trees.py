@@ -36,10 +36,11 @@ def category(path: Column) -> Column:
     )
 
 
-def files(spark: SparkSession, root: str, include: str | None = None, exclude: str | None = None, most_bytes: int = 1 << 20) -> DataFrame:
+def files(spark: SparkSession, root: str, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """(path, content, bytes, ext, language, category) below ``root`` without build folders and external clones.
 
-    ``include`` and ``exclude`` are substrings of the path. The path filters
+    ``include`` and ``exclude`` are substrings of the path. Large files stay:
+    ``skip_reason`` reports them. The path filters
     apply before a file's bytes are read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -50,7 +51,7 @@ def files(spark: SparkSession, root: str, include: str | None = None, exclude: s
         kept = kept.filter(~F.col("path").contains(exclude))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     language = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext), F.lit("other"))
-    return kept.filter(F.col("length") <= most_bytes).select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("bytes"), ext.alias("ext"), language.alias("language"), category(F.col("path")).alias("category"))
+    return kept.select("path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"), ext.alias("ext"), language.alias("language"), category(F.col("path")).alias("category"))
 
 
 def lines(found: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
