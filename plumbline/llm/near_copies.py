@@ -1,15 +1,22 @@
-"""Near copies by the exact Jaccard of word shingles, for the pipeline's stage.
+"""Near copies by SimHash and the exact Jaccard of word shingles, for the pipeline's stage.
 
 Two texts link if the sets of their 5-word shingles have a Jaccard of
-``THRESHOLD`` = 0.8 or more. Candidates share one of ``BANDS`` MinHash bands of
+``THRESHOLD`` = 0.8 or more. Texts of the same shingles are one node. The
+SimHash operator links the nodes whose fingerprints, here of 5-word shingles,
+differ in 3 bits at most; that joins most of each group. Pairs at 0.8 differ in
+more bits, up to about 11, which masks can't cover. So nodes that are still
+apart are candidates too where they share one of ``BANDS`` MinHash bands of
 ``ROWS`` values: a pair at the threshold is missed with probability
-(1 - 0.8^6)^40 = 5e-6, a closer one more seldom. Every candidate is confirmed
-on the shingles themselves.
+(1 - 0.8^6)^40 = 5e-6, a closer one more seldom. Every link is confirmed on the
+shingles themselves.
 
-Texts of the same shingles are one node. In a bucket, first all members are
-held against one of them; only members that are in different components by
-then are held against each other, so a large group costs one comparison a member
-and bucket, not its square, unless its links are spread.
+A node carries two bits of each of its MinHash values. Candidates at the
+threshold differ in 36 of the 240 places on average; those that differ in over
+``APART`` = 74 are left out before any text is read, wrongly with probability
+2e-9. That drops pairs that merely share a passage. In a bucket, first all
+members are held against one of them; only members that are in different
+components by then are held against each other, so a large group costs one
+comparison a member and bucket, not its square, unless its links are spread.
 
 Defined results
 ---------------
@@ -17,22 +24,27 @@ Defined results
   whole sequence is the one shingle. Texts without words are copies of each other.
 * Of each component the row of the smallest ``doc_id`` stays. Rows of null id
   link others but stay. Repeated rows of one id become one.
-* An empty table gives an empty result.
+* A text of any length is read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import simhash
 from plumbline.llm.base import looked_up, stored, text_of
 from plumbline.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
+PLANES = 2
+APART = 74
 SEED = 42
 
 
@@ -52,37 +64,64 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One hash for each band of MinHash values, as signed longs; none without shingles."""
+def least_values(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash values (uint32) of a set that is not empty."""
+    rng = np.random.default_rng(SEED)
+    times, plus = (rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) for _ in range(2))
+    times |= np.uint32(1)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
+    half = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(half), 512):
+        np.minimum(least, (half[at : at + 512] * times + plus).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """One hash for each band of MinHash values, as signed longs."""
     import xxhash
 
-    if not len(hashes):
-        return []
-    rng = np.random.default_rng(SEED)
-    times, plus = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    times |= np.uint64(1)
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * times + plus).min(axis=0), out=least)
     whole = least.reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(whole)], dtype=np.uint64).view(np.int64).tolist()
 
 
+def planes(least: np.ndarray) -> list[int]:
+    """The lowest bits of the MinHash values, 64 of one place in a long, by place."""
+    bits = np.zeros((PLANES, -(-len(least) // 64) * 64), dtype=np.uint8)
+    for k in range(PLANES):
+        bits[k, : len(least)] = (least >> np.uint32(k)) & np.uint32(1)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many MinHash values the bits of two nodes differ."""
+    width = -(-BANDS * ROWS // 64)
+    parts = []
+    for k in range(width):
+        unlike = [F.col(a)[p * width + k].bitwiseXOR(F.col(b)[p * width + k]) for p in range(PLANES)]
+        parts.append(F.bit_count(reduce(Column.bitwiseOR, unlike)))
+    return reduce(Column.__add__, parts)
+
+
 def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, node, size, bands): the node is a 128-bit hash of the shingle set."""
+    """(doc_id, text_hash, node, size, fp, bands, planes): the node is a 128-bit hash of the shingle set; no bands without shingles."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("text_hash"))
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            out = []
+            for t in batch.column(1):
+                s = shingles(t.as_py())
+                least = least_values(s) if len(s) else None
+                out.append((xxhash.xxh128_hexdigest(s.tobytes()), len(s), np.uint64(simhash.majority(s)).view(np.int64), [] if least is None else bands(least), [] if least is None else planes(least)))
+            node, size, fp, band, plane = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "node", "size", "bands"],
+                [batch.column(0), batch.column(2), pa.array(node, pa.string()), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(plane, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "size", "fp", "bands", "planes"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, node string, size long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, node string, size long, fp long, bands array<long>, planes array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -104,41 +143,49 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by SimHash: those of one fingerprint, and those that stand for linked fingerprints."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = looked_up(nodes.select("node", "fp"), firsts, ["fp"], "inner").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    x, y = (firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")) for end in ("a", "b"))
+    near = simhash.links(firsts.select("fp")).distinct().join(x, "a").join(y, "b")
+    return same.union(near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))).distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, spread: int = 4) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes`` (node, size, bands) as their confirmed candidates do.
+    """Edges (a, b) that connect all ``nodes`` (node, size, fp, bands, planes) as their confirmed candidates do.
 
-    Members are held against one of their bucket until no new link comes or the
-    pairs between components are at most ``spread`` times the members; then
-    all those pairs are confirmed.
+    SimHash's links come first. Then members are held against one of their
+    bucket until no new link comes or the pairs between components are at most
+    ``spread`` times the members; then all those pairs are confirmed.
     """
-    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash")).select("node", "size", F.xxhash64("band", "hash").alias("bucket"))
+    keyed = nodes.select("node", "size", "planes", F.posexplode("bands").alias("band", "hash")).select("node", "size", "planes", F.xxhash64("band", "hash").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = stored(keyed.join(shared, "bucket"))
-    texts = stored(texts.join(members.select("node").distinct(), "node", "left_semi"))
-    close = F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size") - 1e-9
+    near = stored(alike(nodes.filter("size > 0")))
+    named = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    texts = stored(texts.join(named, "node", "left_semi"))
+    close = (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size") - 1e-9) & (differing("planes", "other_planes") <= APART)
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    found, at = None, 0
+    found, new, at = stored(confirmed(near, texts, threshold)), True, 0
     while True:
-        if found is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            of = components(found)
-            now = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
         now = stored(now.join(mixed, "bucket"))
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         if not total["n"]:
-            return found if found is not None else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        last = total["pairs"] <= spread * total["n"] or (at > 0 and not new)
+            return found
+        last = total["pairs"] <= spread * total["n"] or not new
         if last:
-            other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
+            other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("planes").alias("other_planes"), F.col("component").alias("other_component"))
         else:
-            first = F.min_by(F.struct("node", "size", "component"), F.col("node") if at == 0 else F.xxhash64("node", "bucket", F.lit(at)))
-            other = now.groupBy("bucket").agg(first.alias("x")).select("bucket", F.col("x.node").alias("other"), F.col("x.size").alias("other_size"), F.col("x.component").alias("other_component"))
-        tried = now.join(other, "bucket").filter((F.col("component") != F.col("other_component")) & close).select(*pair).distinct()
+            first = F.min_by(F.struct("node", "size", "planes", "component"), F.col("node") if at == 0 else F.xxhash64("node", "bucket", F.lit(at)))
+            other = now.groupBy("bucket").agg(first.alias("x")).select("bucket", F.col("x.node").alias("other"), F.col("x.size").alias("other_size"), F.col("x.planes").alias("other_planes"), F.col("x.component").alias("other_component"))
+        once = F.col("node") < F.col("other") if last else F.lit(True)
+        tried = now.join(other, "bucket").filter((F.col("component") != F.col("other_component")) & once & close).select(*pair).distinct()
         got = stored(confirmed(tried, texts, threshold))
-        found, new, at = got if found is None else found.union(got), bool(got.limit(1).count()), at + 1
+        found, new, at = found.union(got), bool(got.limit(1).count()), at + 1
         if last:
             return found
 
@@ -146,7 +193,7 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose id is the smallest of their component."""
     found = stored(signatures(docs, doc_id=doc_id, text=text))
-    nodes = stored(found.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("row")))
+    nodes = stored(found.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("planes").alias("planes"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("row")))
     # one row stands for each node, so that its text moves once
     rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text_of(text)).alias("_hash"), text_of(text).alias("text"))
     named = nodes.select("node", "row.doc_id", "row.text_hash")

@@ -38,6 +38,15 @@ VECTORS = 15
 SEED = 42
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes ``h`` (uint64)."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 8192):  # bits of a bounded number of hashes at a time
+        part = np.ascontiguousarray(h[at : at + 8192])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """The 64-bit SimHash of the 3-word shingles, unsigned."""
     import xxhash
@@ -47,12 +56,7 @@ def fingerprint(text: str | None) -> int:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= 3 else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 8192):  # bits of a bounded number of hashes at a time
-        part = np.ascontiguousarray(h[at : at + 8192])
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
