@@ -3,17 +3,17 @@
 Two texts link if the sets of their 5-word shingles have a Jaccard of
 ``THRESHOLD`` = 0.8 or more. Texts of the same shingles are one node. The
 SimHash operator links the nodes whose fingerprints, here of 5-word shingles,
-differ in 3 bits at most; that joins most of each group. Pairs at 0.8 differ in
-more bits, up to about 11, which masks can't cover. So nodes that are still
+differ in 3 bits at most, which joins the closest copies. Pairs at 0.8 differ in
+more bits, up to about 11, for which too many masks were needed. So nodes that are still
 apart are candidates too where they share one of ``BANDS`` MinHash bands of
 ``ROWS`` values: a pair at the threshold is missed with probability
 (1 - 0.8^6)^40 = 5e-6, a closer one more seldom. Every link is confirmed on the
 shingles themselves.
 
-A node carries two bits of each of its MinHash values. Candidates at the
-threshold differ in 36 of the 240 places on average; those that differ in over
-``APART`` = 74 are left out before any text is read, wrongly with probability
-2e-9. That drops pairs that merely share a passage. In a bucket, first all
+A node carries four bits of each of its MinHash values. Candidates at the
+threshold differ in 45 of the 240 places on average; those that differ in over
+``APART`` = 82 are left out before any text is read, wrongly with probability
+5e-9. That drops most pairs that merely share a passage. In a bucket, first all
 members are held against one of them; only members that are in different
 components by then are held against each other, so a large group costs one
 comparison a member and bucket, not its square, unless its links are spread.
@@ -43,8 +43,8 @@ from plumbline.llm.components import components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-PLANES = 2
-APART = 74
+PLANES = 4
+APART = 82
 SEED = 42
 
 
@@ -155,9 +155,10 @@ def alike(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, spread: int = 4) -> DataFrame:
     """Edges (a, b) that connect all ``nodes`` (node, size, fp, bands, planes) as their confirmed candidates do.
 
-    SimHash's links come first. Then members are held against one of their
-    bucket until no new link comes or the pairs between components are at most
-    ``spread`` times the members; then all those pairs are confirmed.
+    SimHash's links come first. Where the pairs between components are more than
+    ``spread`` times the members, members are then held against one of their
+    bucket, until under 16 times as many pairs are left or a round finds a link
+    for under a hundredth of the members. Then all pairs that are left are tried.
     """
     keyed = nodes.select("node", "size", "planes", F.posexplode("bands").alias("band", "hash")).select("node", "size", "planes", F.xxhash64("band", "hash").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
@@ -167,7 +168,7 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
     texts = stored(texts.join(named, "node", "left_semi"))
     close = (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size") - 1e-9) & (differing("planes", "other_planes") <= APART)
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    found, new, at = stored(confirmed(near, texts, threshold)), True, 0
+    found, new, at = stored(confirmed(near, texts, threshold)), 0, 0
     while True:
         now = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
@@ -176,7 +177,7 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
         total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         if not total["n"]:
             return found
-        last = total["pairs"] <= spread * total["n"] or not new
+        last = total["pairs"] <= spread * (16 if at else 1) * total["n"] or (at > 0 and 100 * new < total["n"])
         if last:
             other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("planes").alias("other_planes"), F.col("component").alias("other_component"))
         else:
@@ -185,7 +186,7 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
         once = F.col("node") < F.col("other") if last else F.lit(True)
         tried = now.join(other, "bucket").filter((F.col("component") != F.col("other_component")) & once & close).select(*pair).distinct()
         got = stored(confirmed(tried, texts, threshold))
-        found, new, at = found.union(got), bool(got.limit(1).count()), at + 1
+        found, new, at = found.union(got), got.count(), at + 1
         if last:
             return found
 
