@@ -155,6 +155,8 @@ def alike(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, spread: int = 4) -> DataFrame:
     """Edges (a, b) that connect all ``nodes`` (node, size, fp, bands, planes) as their confirmed candidates do.
 
+    Confirmed links are replaced by those of their components' nodes to the smallest one after every round.
+
     SimHash's links come first. Where the pairs between components are more than
     ``spread`` times the members, members are then held against one of their
     bucket, until under 16 times as many pairs are left or a round finds a link
@@ -170,7 +172,9 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     found, new, at = stored(confirmed(near, texts, threshold)), 0, 0
     while True:
-        now = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        of = stored(components(found))
+        found = of.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        now = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
         now = stored(now.join(mixed, "bucket"))
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
