@@ -661,7 +661,7 @@ def token_budget(spark, d):
 
 
 def queries() -> dict:
-    from plumbline.plans import code_catalogue  # noqa: F401  adds its queries
+    from plumbline.plans import code_catalogue, project_catalogue  # noqa: F401  add their queries
 
     return {name: f for name, (f, _) in QUERIES.items()}
 

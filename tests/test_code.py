@@ -191,3 +191,29 @@ def test_text_and_scores(spark):
     assert one.select(text.imports_in(F.array(F.lit("use a;"), F.lit("let b"))).alias("n"), text.exports_in(F.array(F.lit("pub fn a"), F.lit("export x"))).alias("m")).first() == (1, 2)
     assert [one.select(scoring.churn_factor_by_age(F.lit(x)).alias("v")).first().v for x in (1, 10, 60, 365)] == [3.0, 2.0, 1.0, 0.5]
     assert one.select(scoring.size_rank(F.lit("py"), F.lit(400)).alias("v")).first().v == pytest.approx(0.55)
+
+
+def test_diagnostics(spark, tmp_path):
+    from plumbline.sources.diagnostics import diagnostics
+
+    span = lambda file, first, line: {"file_name": file, "is_primary": first, "line_start": line, "column_start": 1, "line_end": line, "column_end": 5}
+    message = lambda level, lint, *spans: {"reason": "compiler-message", "message": {"message": "m", "level": level, "code": lint and {"code": lint}, "spans": spans}}
+    rows = [
+        message("warning", "unused", span("server/src/a.rs", False, 1), span("server/src/a.rs", True, 7)),
+        message("help", None, span("b.rs", False, 3)),
+        message("error", "E1", span("Cargo.toml", True, 1)),
+        message("error", "E2"),
+        {"reason": "build-finished"},
+    ]
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, rows)) + "\nno json\n")
+    got = {(r.file, r.line, r.lint, r.severity, r.machine_applicable) for r in diagnostics(spark, str(tmp_path / "d.json")).collect()}
+    assert got == {("src/a.rs", 7, "unused", "warning", False), ("b.rs", 3, "unknown", "suggestion", False)}
+
+
+def test_blocks_of_tests(spark):
+    from plumbline.operators.gates import outside_tests
+
+    text = ["a", "}", "#[cfg(test)]", "} x {", "}", "b", "#[cfg(test)]", "{ {", "} }", "}", "c"]
+    rows = spark.createDataFrame([("f", k, t) for k, t in enumerate(text, 1)], "path string, line int, text string")
+    assert sorted(r.line for r in outside_tests(rows).collect()) == [1, 2, 5, 6, 9, 10, 11]
+    assert outside_tests(rows.limit(0)).count() == 0
