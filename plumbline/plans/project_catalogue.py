@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import projects
-from plumbline.operators import gates
+from plumbline.operators import gates, makefiles
 from plumbline.plans import roles
 from plumbline.plans.catalogue import query
 from plumbline.plans.roles import with_
@@ -40,6 +40,10 @@ ISSUES = {
 BLOCKS = ("'fn a() {'", "'}'", "CASE WHEN o_orderkey % 3 = 0 THEN '#[cfg(test)]' ELSE '// TODO: one' END", "'mod tests {'", "CASE WHEN o_orderkey % 4 = 0 THEN '  fn t() { // TODO: two' ELSE '} else {' END",
           "'  }'", "CASE WHEN o_orderkey % 5 = 0 THEN '#[cfg(test)]' ELSE '}' END", "'} // HACK: x'", "'}'", "'// FIXME: last'")
 
+# Spark would replace a braced name within one literal
+MAKEFILE = ("'SRC = $(wildcard *.c)'", "CASE WHEN p_partkey % 2 = 0 THEN 'OBJ = $(SRC:.c=.o)' ELSE 'OBJ := $(SRC)' END", "CASE WHEN p_partkey % 3 = 0 THEN 'NOW := $(shell date)' ELSE 'NOW = now' END", "CASE WHEN p_partkey % 5 = 0 THEN 'CC ?= gcc' ELSE 'REV != git' END",
+            "'BIN = $(OBJ) $' || '{NOW}'", "'all: $(BIN)'", "chr(9) || '$(CC) $(BIN) $(BIN) $$(HOME) $@ $(f)'", "chr(9) || 'echo $(MISS_' || p_size || ') $(OBJ) $' || '{OBJ}'")
+
 
 def _role(spark, d, name: str, columns: dict[str, str]):
     return table(spark, d, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
@@ -142,3 +146,16 @@ SELECT path, line::INT AS line FROM walk WHERE line > 0 AND NOT inside""")
 def lines_outside_tests(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.posexplode(F.array(*[F.expr(x) for x in BLOCKS])).alias("at", "text"))
     return gates.outside_tests(rows.select("path", (F.col("at") + 1).alias("line"), "text")).select("path", "line")
+
+
+@query("WITH RECURSIVE l AS (SELECT p_partkey AS path, unnest(range(1, 9))::INT AS line, unnest([" + ", ".join(MAKEFILE) + r"""]) AS text FROM part),
+a AS (SELECT path, line, regexp_extract(text, '^([A-Z]+)', 1) AS name, regexp_extract(text, '^[A-Z]+ ([^ ]+) ', 1) AS op, regexp_extract(text, '^[A-Z]+ [^ ]+ (.*)$', 1) AS value FROM l WHERE regexp_matches(text, '^[A-Z]+ (=|:=|\?=|!=) ')),
+u AS (SELECT path, line, text LIKE chr(9) || '%' AS recipe, unnest(regexp_extract_all(replace(text, '$$', ''), '\$[({]([A-Z_0-9]+)[:)}]', 1)) AS name FROM l WHERE text NOT LIKE 'all%'),
+slow AS (SELECT path, name FROM a WHERE op = '=' AND contains(value, '$(wildcard') UNION SELECT a.path, a.name FROM slow JOIN u ON u.path = slow.path AND u.name = slow.name JOIN a ON a.path = u.path AND a.line = u.line AND a.op = '=')
+SELECT path, line, 'timestampexpanded' AS rule, 'info' AS severity, name FROM a WHERE op = ':=' AND contains(value, '$(shell date')
+UNION ALL SELECT path, line, 'undefinedvariable', 'warning', name FROM u WHERE name <> 'CC' AND NOT EXISTS (SELECT 1 FROM a WHERE a.path = u.path AND a.name = u.name)
+UNION ALL SELECT path, line, 'portability', 'info', name FROM a WHERE op IN ('?=', '!=')
+UNION ALL SELECT u.path, line, 'recursive-expansion', 'performance', u.name FROM u JOIN slow ON slow.path = u.path AND slow.name = u.name WHERE recipe GROUP BY u.path, line, u.name HAVING count(*) > 1""")
+def makefile_variables(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.posexplode(F.array(*[F.expr(x) for x in MAKEFILE])).alias("at", "text"))
+    return makefiles.violations(rows.select("path", (F.col("at") + 1).alias("line"), "text"))

@@ -217,3 +217,13 @@ def test_blocks_of_tests(spark):
     rows = spark.createDataFrame([("f", k, t) for k, t in enumerate(text, 1)], "path string, line int, text string")
     assert sorted(r.line for r in outside_tests(rows).collect()) == [1, 2, 5, 6, 9, 10, 11]
     assert outside_tests(rows.limit(0)).count() == 0
+
+
+def test_makefile_variables(spark):
+    from plumbline.operators import makefiles
+
+    text = ["A = $(shell ls)", "B = $(A) x", "C := $(shell date)", "D ?= 1", "all: $(B)", "\techo $(B) ${B} $$(HOME) $@ $(i) ${E:-x}"]
+    rows = spark.createDataFrame([("m", k, t) for k, t in enumerate(text, 1)], "path string, line int, text string")
+    got = {(r.line, r.rule, r.name) for r in makefiles.violations(rows).collect()}
+    assert got == {(3, "timestampexpanded", "C"), (4, "portability", "D"), (6, "undefinedvariable", "E"), (6, "recursive-expansion", "B")}
+    assert makefiles.violations(rows.limit(0)).count() == 0
