@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, licenses, lm_scoring, packing, quality_crf, quality_rules, secrets, simhash, substring, token_counts
+from plumbline.llm import decontamination, fill_in_middle, filter_audit, licenses, lm_scoring, packing, quality_crf, quality_rules, secrets, simhash, source_mixing, substring, token_counts
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_quality_classifier": quality_crf.op9_quality_classifier,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_source_mixing": source_mixing.op12_source_mixing,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE, "op7_decontamination": decontamination.ORACLE}
+    return {
+        "op6_quality_rules": quality_rules.ORACLE,
+        "op7_decontamination": decontamination.ORACLE,
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+        "op13_filter_audit": filter_audit.ORACLE,
+    }
