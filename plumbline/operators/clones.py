@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.graphs import components, nodes_of
+from plumbline.operators.simjoin import similar_sets
 from plumbline.session import cut
 
 
@@ -39,14 +40,15 @@ def signature(of: Column, hashes: int = 200) -> Column:
     def run(sets: pd.Series) -> pd.Series:
         rng = np.random.default_rng(42)
         by, plus = rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
-        most = np.full(hashes, (1 << 63) - 1, dtype=np.int64)
-
-        def one(s):
-            x = np.asarray(s, dtype=np.int64).view(np.uint64)
+        size = sets.map(len).to_numpy()
+        out = np.full((len(sets), hashes), (1 << 63) - 1, dtype=np.int64)
+        if size.sum():
+            x = np.concatenate(sets[size > 0].to_list()).astype(np.int64).view(np.uint64)
             x = x ^ (x >> np.uint64(32))
-            return np.array([(x * m + c).min() >> np.uint64(1) for m, c in zip(by, plus)], dtype=np.uint64).view(np.int64) if len(x) else most
-
-        return sets.map(one)
+            at = np.concatenate([[0], np.cumsum(size[size > 0])[:-1]])
+            for k, (m, c) in enumerate(zip(by, plus)):
+                out[size > 0, k] = (np.minimum.reduceat(x * m + c, at) >> np.uint64(1)).view(np.int64)
+        return pd.Series(list(out))
 
     return F.pandas_udf(run, "array<long>")(of)
 
@@ -62,26 +64,23 @@ def _sets(fragments: DataFrame, k: int) -> DataFrame:
     return sets.withColumn("digest", F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256))
 
 
-def similar_pairs(fragments: DataFrame, *, k: int = 5, hashes: int = 200, bands: int = 50, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity): pairs whose shingle sets have an exact Jaccard of the threshold or more.
+def band_buckets(fragments: DataFrame, *, k: int = 5, hashes: int = 200, bands: int = 20) -> DataFrame:
+    """(band, bucket, members) of the buckets with two or more different shingle sets: an estimate of what is alike, without any pair."""
+    firsts = _sets(fragments, k).groupBy("digest").agg(F.min_by("s", "id").alias("s"))
+    rows = hashes // bands
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice(F.col("sig"), b * rows + 1, F.lit(rows))))
+    return firsts.select(signature(F.col("s"), hashes).alias("sig")).select(F.posexplode(keys).alias("band", "bucket")).groupBy("band", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
+
+
+def similar_pairs(fragments: DataFrame, *, k: int = 5, threshold: float = 0.7) -> DataFrame:
+    """(a, b, similarity): all pairs whose shingle sets have a Jaccard of the threshold or more, found exactly.
 
-    Candidates agree in a band; 50 bands of 4 rows miss a pair at 0.7 with
-    probability 1e-6. Fragments of one shingle set are one member of the
-    search, named by their least id, so copies add no pairs. Sets without
-    shingles are left out.
+    Fragments of one shingle set are one member of the search, named by their
+    least id, so copies add no pairs. Sets without shingles and fragments of
+    null id are left out.
     """
-    firsts = cut(_sets(fragments, k).groupBy("digest").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s")).select("id", "s"))
-    rows = hashes // bands
-    sig = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(F.col("sig"), b * rows + 1, F.lit(rows))))
-    keys = cut(firsts.select("id", F.size("s").alias("n"), signature(F.col("s"), hashes).alias("sig")).select("id", "n", F.explode(sig).alias("key")))
-    left, right = (keys.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), "key") for c in ("a", "b"))
-    # sets whose sizes differ too much can't reach the threshold
-    near = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    both = pairs.join(firsts.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(firsts.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
-    same = F.size(F.array_intersect("s_a", "s_b"))
-    found = both.select("a", "b", (same / (F.size("s_a") + F.size("s_b") - same)).alias("similarity"))
-    return found.filter(F.col("similarity") >= threshold - 1e-12)
+    firsts = _sets(fragments.filter("id is not null"), k).groupBy("digest").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s"))
+    return similar_sets(cut(firsts.select("id", "s")), threshold)
 
 
 def clone_groups(fragments: DataFrame, **how) -> DataFrame:

@@ -314,18 +314,6 @@ def shingle_sets(spark, d):
     return s.groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("members")).select("id", F.size("s").alias("shingles"), "members")
 
 
-@query()
-def minhash_pairs(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", r"\s+").alias("tokens"))
-    return clones.similar_pairs(docs)
-
-
-@query()
-def clone_groups(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", r"\s+").alias("tokens"))
-    return clones.clone_groups(docs)
-
-
 # --- names
 
 _NAMES = "WITH a AS (SELECT DISTINCT p_name AS a FROM part) "
@@ -661,7 +649,7 @@ def token_budget(spark, d):
 
 
 def queries() -> dict:
-    from plumbline.plans import code_catalogue, project_catalogue  # noqa: F401  add their queries
+    from plumbline.plans import code_catalogue, fragment_catalogue, project_catalogue  # noqa: F401  add their queries
 
     return {name: f for name, (f, _) in QUERIES.items()}
 
