@@ -66,11 +66,11 @@ _FRAGMENTS = (
     + ",\n"
     + _spans("fn", "contains(trim(s.text), 'fn ') AND contains(s.text, '(')")
     + rf""",
-both AS (SELECT path, start_line, end_line, 0 AS whole FROM fn WHERE end_line > start_line UNION ALL SELECT path, 1, max(line), 1 FROM src GROUP BY path),
+span_ AS (SELECT path, start_line, end_line, 0 AS whole FROM fn WHERE end_line > start_line UNION ALL SELECT path, 1, max(line), 1 FROM src GROUP BY path),
 tok AS (
   SELECT path, start_line, end_line, whole, line, i, list[i] AS t FROM (
     SELECT path, start_line, end_line, whole, line, list, unnest(range(1, len(list) + 1)) AS i FROM (
-      SELECT both.path, start_line, end_line, whole, line, regexp_extract_all(text, '{_TOKEN}') AS list FROM both JOIN src ON both.path = src.path AND line BETWEEN start_line AND end_line))
+      SELECT span_.path, start_line, end_line, whole, line, regexp_extract_all(text, '{_TOKEN}') AS list FROM span_ JOIN src ON span_.path = src.path AND line BETWEEN start_line AND end_line))
   WHERE NOT (list[i] LIKE '//%' OR list[i] LIKE '/*%')),
 kind AS (
   SELECT *, CASE WHEN regexp_matches(t, '^["0-9]') THEN 'l' WHEN t IN ({", ".join(f"'{k}'" for k in lexer.KEYWORDS["rust"].split())}) THEN 'k' WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'i' ELSE 'o' END AS kind FROM tok),
