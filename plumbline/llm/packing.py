@@ -91,12 +91,12 @@ def fills(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndar
     return value, pick
 
 
-def configurations(sizes: np.ndarray, prices: np.ndarray, room: np.ndarray, capacity: int, *, share: float, waste: float = 0.01) -> list[tuple[dict[int, int], float]]:
+def configurations(sizes: np.ndarray, prices: np.ndarray, room: np.ndarray, capacity: int, *, share: float, waste: float) -> list[tuple[dict[int, int], float]]:
     """Valuable fills (index -> count) and how often to use each; together they use ``share`` of each size's ``room`` at most.
 
     For every size, the most valuable first, the fill that holds it. Where a
-    size is used up, the fill takes the next smaller room's; it is left to a
-    later round if that wastes more than ``waste`` of the capacity.
+    size is used up, the fill takes the next smaller room's; a fill that leaves
+    more than ``waste`` of the capacity empty is left out.
     """
     value, pick = fills(sizes, prices, capacity)
     budget, found = share * room, []
@@ -111,9 +111,9 @@ def configurations(sizes: np.ndarray, prices: np.ndarray, room: np.ndarray, capa
                 counts[j] = counts.get(j, 0) + 1
                 c -= int(sizes[j])
                 continue
-            lost += j >= 0
+            lost += 1
             c -= 1
-        if lost > waste * capacity and found:
+        if lost > waste * capacity:
             continue
         times = min(budget[k] / n for k, n in counts.items())
         found.append((counts, times))
@@ -129,20 +129,25 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, share: float
     longer piece, harder to place, a little more. A length's price falls as
     exp(-covered / demand). A round uses configurations up to ``share`` of what
     each length still lacks. Lengths that are covered but for ``tolerance`` are
-    worth nothing. Rounds go on until all are: each brings some length's gap
-    down by ``share``.
+    worth nothing. Only configurations without waste are used, until there are
+    none or all is covered; lengths that have no such one, such as long ones
+    without short ones beside them, are left to the rounding.
     """
     covered, found = np.zeros(len(sizes)), {}
     while True:
         at = np.flatnonzero(covered < (1 - tolerance) * demand)
         if not len(at):
-            return [(dict(config), times) for config, times in found.items()]
+            break
         prices = sizes[at] * (1 + sizes[at] / capacity) * np.exp(-covered[at] / demand[at])
-        for counts, times in configurations(sizes[at], prices, (demand - covered)[at], capacity, share=share):
+        new = configurations(sizes[at], prices, (demand - covered)[at], capacity, share=share, waste=0.0)
+        if not new:
+            break
+        for counts, times in new:
             config = tuple(sorted((int(at[k]), n) for k, n in counts.items()))
             found[config] = found.get(config, 0.0) + times
             for k, n in config:
                 covered[k] += n * times
+    return [(dict(config), times) for config, times in found.items()]
 
 
 def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -166,30 +171,74 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[d
     return found
 
 
-def rounded_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """The linear program's whole configurations (size -> count, times), and what they leave of the demand.
+def exact_fill(sizes: list[int], left: list[int], first: int, capacity: int) -> dict[int, int]:
+    """The largest remaining piece ``first`` (an index) and those that leave the least room beside it, the longest before others.
 
-    Passes solve what the last one's rounding has left, until one places nothing.
+    A bit for each sum that some of the pieces have: exact pricing where a
+    piece is worth its length and no length may be used more often than it is left.
     """
-    left, found = demand.copy(), []
-    while left.any():
-        open_, before = np.flatnonzero(left), left.sum()
-        for counts, times in sorted(solve(sizes[open_], left[open_].astype(float), capacity), key=lambda x: -x[1]):
-            whole = int(min(np.ceil(times - 1e-9), min(left[open_[k]] // n for k, n in counts.items())))
-            if whole > 0:
-                for k, n in counts.items():
-                    left[open_[k]] -= n * whole
-                found.append(({int(sizes[open_[k]]): n for k, n in counts.items()}, whole))
-        if before == left.sum():
+    room = capacity - sizes[first]
+    keep, reach, seen = (1 << (room + 1)) - 1, 1, []
+    for k in range(first, -1, -1):
+        n = left[k] - (k == first)
+        if n <= 0 or sizes[k] > room:
+            continue
+        part, n = 1, min(n, room // sizes[k])
+        while n:
+            take = min(part, n)
+            seen.append((k, take, reach))
+            reach |= (reach << (take * sizes[k])) & keep
+            n -= take
+            part *= 2
+        if reach >> room & 1:
             break
+    total, counts = reach.bit_length() - 1, {first: 1}
+    for k, take, before in reversed(seen):
+        if not before >> total & 1:
+            counts[k] = counts.get(k, 0) + take
+            total -= take * sizes[k]
+    return counts
+
+
+def least_slack(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The longest piece left, each time, with the pieces that fill its sequence best."""
+    sizes_, left_, found = sizes.tolist(), left.tolist(), []
+    for first in range(len(sizes_) - 1, -1, -1):
+        while left_[first]:
+            counts = exact_fill(sizes_, left_, first, capacity)
+            times = min(left_[k] // n for k, n in counts.items())
+            for k, n in counts.items():
+                left_[k] -= n * times
+            found.append(({sizes_[k]: n for k, n in counts.items()}, times))
+    return found
+
+
+def rounded_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The linear program's configurations, rounded down (size -> count, times), and what they leave of the demand."""
+    left, found = demand.copy(), []
+    for counts, times in solve(sizes, demand.astype(float), capacity):
+        whole = int(min(np.floor(times + 1e-9), min(left[k] // n for k, n in counts.items())))
+        if whole > 0:
+            for k, n in counts.items():
+                left[k] -= n * whole
+            found.append(({int(sizes[k]): n for k, n in counts.items()}, whole))
     return found, left
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations (size -> count, times) that hold exactly the histogram's pieces."""
+    """Whole configurations (size -> count, times) that hold exactly the histogram's pieces.
+
+    The program is rounded down, and what it leaves is filled exactly, piece by
+    piece. Best-fit decreasing is the bar: no plan needs more sequences.
+    """
+    if not histogram:
+        return []
     sizes = np.array(sorted(histogram), dtype=np.int64)
-    found, left = rounded_program(sizes, np.array([histogram[int(s)] for s in sizes], dtype=np.int64), capacity)
-    return found + best_fit(sizes, left, capacity)
+    demand = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
+    found, left = rounded_program(sizes, demand, capacity)
+    total = lambda configs: sum(times for _, times in configs)
+    rest = min((f(sizes, left, capacity) for f in (least_slack, best_fit)), key=total)
+    return min(found + rest, best_fit(sizes, demand, capacity), key=total)
 
 
 def ranges(configs: list[tuple[dict[int, int], int]]) -> np.ndarray:
