@@ -134,10 +134,10 @@ def purchase_degrees(spark, d):
     return graphs.degrees(*roles.purchases(spark, d))
 
 
-@query(with_("purchases") + """, od AS (SELECT f, count(*) AS o FROM pe GROUP BY f), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS rank FROM pn)""" + "".join(f", r{k + 1} AS MATERIALIZED (SELECT pn.id, 0.15::DOUBLE + 0.85 * coalesce(sum(r{k}.rank / o), 0) AS rank FROM pn LEFT JOIN pe ON pe.t = pn.id LEFT JOIN od ON od.f = pe.f LEFT JOIN r{k} ON r{k}.id = pe.f GROUP BY pn.id)" for k in range(2)) + " SELECT id, round(rank, 6) AS rank FROM r2")
+@query(with_("purchases") + """, od AS (SELECT f, count(*) AS o FROM pe GROUP BY f), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS rank FROM pn)""" + "".join(f", r{k + 1} AS MATERIALIZED (SELECT pn.id, 0.15::DOUBLE + 0.85 * coalesce(sum(r{k}.rank / o), 0) AS rank FROM pn LEFT JOIN pe ON pe.t = pn.id LEFT JOIN od ON od.f = pe.f LEFT JOIN r{k} ON r{k}.id = pe.f GROUP BY pn.id)" for k in range(10)) + " SELECT id, round(rank, 6) AS rank FROM r10")
 def purchase_rank(spark, d):
     n, e = roles.purchases(spark, d)
-    return graphs.pagerank(n, e, rounds=2).select("id", F.round("rank", 6).alias("rank"))
+    return graphs.pagerank(n, e).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(with_("purchases", recursive=True) + ", l AS (SELECT f AS a, min(t) AS b FROM pe GROUP BY f) SELECT CASE WHEN id IN (SELECT f FROM pe UNION SELECT t FROM pe) THEN 'linked' ELSE 'alone' END AS kind, count(*) AS nodes FROM pn GROUP BY 1")

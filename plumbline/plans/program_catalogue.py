@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import program, ranges
-from plumbline.plans.catalogue import query
+from plumbline.operators import centrality, graphs, program, ranges
+from plumbline.plans import roles
+from plumbline.plans.catalogue import _calls, query
+from plumbline.plans.roles import with_
 from plumbline.session import cut, table
 from plumbline.sources import lexer
 
@@ -188,3 +190,51 @@ def ffi_exports_by_range(spark, d):
 SELECT id, 'memory_safety' AS property, 'borrow_checker' AS method, 0.95::DOUBLE AS confidence FROM f UNION ALL SELECT id, 'thread_safety', 'type_system', 0.9::DOUBLE FROM f""")
 def function_proofs(spark, d):
     return program.proofs_that(program.proofs(_lexed(spark, d)), least=0.9)
+
+
+# --- centralities
+
+
+def _levels(depth: int) -> str:
+    """Nodes gn(id) and edges ge(f, t): shortest paths from every node by distance (f0, f1 ...), then what each owes back (b ...)."""
+    forward = ["f0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS paths FROM gn)"]
+    for k in range(1, depth + 1):
+        earlier = " AND ".join(f"NOT EXISTS (SELECT 1 FROM f{j} o WHERE o.s = x.s AND o.id = x.id)" for j in range(k))
+        forward.append(f"f{k} AS MATERIALIZED (SELECT s, id, paths FROM (SELECT s, t AS id, sum(paths) AS paths FROM f{k - 1} JOIN ge ON f = id GROUP BY s, t) x WHERE {earlier})")
+    back = [f"b{depth} AS MATERIALIZED (SELECT s, id, paths, 0.0::DOUBLE AS owed FROM f{depth})"]
+    for k in range(depth - 1, -1, -1):
+        back.append(f"b{k} AS MATERIALIZED (SELECT v.s, v.id, v.paths, coalesce(sum(v.paths / w.paths * (1 + w.owed)), 0.0) AS owed FROM f{k} v LEFT JOIN (SELECT f, t, b.* FROM ge JOIN b{k + 1} b ON b.id = t) w ON w.f = v.id AND w.s = v.s GROUP BY v.s, v.id, v.paths)")
+    levels = " UNION ALL ".join(f"SELECT s, id, owed, {k} AS d FROM b{k}" for k in range(depth + 1))
+    return ",\n".join([*forward, *back, f"""owed AS MATERIALIZED ({levels}),
+through AS (SELECT id, sum(owed) AS betweenness FROM owed WHERE s <> id GROUP BY id),
+reach AS (SELECT s AS id, sum(d) AS far, count(*) AS reached FROM owed WHERE d > 0 GROUP BY s),
+central AS (SELECT gn.id, coalesce(betweenness, 0.0) AS betweenness, coalesce(((SELECT count(*) FROM gn) - 1) / far, 0.0) AS closeness, coalesce(reached, 0)::BIGINT AS reached FROM gn LEFT JOIN through USING (id) LEFT JOIN reach USING (id))"""])
+
+
+@query(f"WITH {_SRC},\nge AS MATERIALIZED (SELECT DISTINCT f, t FROM called WHERE f <> t), gn AS MATERIALIZED (SELECT DISTINCT id FROM fn),\n{_levels(10)}\nSELECT id, round(betweenness, 6) AS betweenness, round(closeness, 6) AS closeness, reached FROM central")
+def call_centrality(spark, d):
+    nodes, edges = program.build(_lexed(spark, d))
+    found = centrality.dependencies(nodes.filter("node_type = 'Function'"), edges.filter("edge_type = 'Calls'"))
+    return found.select("id", F.round("betweenness", 6).alias("betweenness"), F.round("closeness", 6).alias("closeness"), "reached")
+
+
+@query()
+def purchase_neighbourhoods(spark, d):
+    """Sketched over who bought from whom, either way."""
+    n, e = roles.purchases(spark, d)
+    return centrality.neighbourhoods(n, e.select("from", "to").union(e.select("to", "from")))
+
+
+@query(with_("graph") + f", ge AS MATERIALIZED (SELECT f, t FROM calls), gn AS MATERIALIZED (SELECT id FROM n),\n{_levels(12)},\nod AS (SELECT f, count(*) AS o FROM ge GROUP BY f), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM gn) AS rank FROM gn)"
+  + "".join(f", r{k + 1} AS MATERIALIZED (SELECT gn.id, 0.15::DOUBLE / (SELECT count(*) FROM gn) + 0.85 * coalesce(sum(r{k}.rank / o), 0) AS rank FROM gn LEFT JOIN ge ON ge.t = gn.id LEFT JOIN od ON od.f = ge.f LEFT JOIN r{k} ON r{k}.id = ge.f GROUP BY gn.id)" for k in range(10))
+  + """ SELECT id, round((coalesce(i, 0) + coalesce(o, 0)) / ((SELECT count(*) FROM gn) - 1) + betweenness / (((SELECT count(*) FROM gn) - 1) * ((SELECT count(*) FROM gn) - 2)) + closeness + rank, 6) AS score
+  FROM central JOIN r10 USING (id) LEFT JOIN (SELECT f AS id, count(*) AS o FROM ge GROUP BY f) USING (id) LEFT JOIN (SELECT t AS id, count(*) AS i FROM ge GROUP BY t) USING (id) ORDER BY score DESC, id LIMIT 10""")
+def central_nations(spark, d):
+    n, e = _calls(spark, d)
+    return centrality.most_central(n, e, 10)
+
+
+@query(with_("purchases") + ", bw AS MATERIALIZED (SELECT f AS a, t AS b FROM pe UNION ALL SELECT t, f FROM pe), l0 AS MATERIALIZED (SELECT id, id AS g FROM pn)"
+  + "".join(f", l{k} AS MATERIALIZED (SELECT l.id, least(min(l.g), coalesce(min(n.g), min(l.g))) AS g FROM l{k - 1} l LEFT JOIN bw ON bw.a = l.id LEFT JOIN l{k - 1} n ON n.id = bw.b GROUP BY l.id)" for k in range(1, 13)) + " SELECT id, g AS component FROM l12")
+def purchase_component_ids(spark, d):
+    return graphs.components(*roles.purchases(spark, d))
