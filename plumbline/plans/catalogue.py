@@ -649,7 +649,7 @@ def token_budget(spark, d):
 
 
 def queries() -> dict:
-    from plumbline.plans import code_catalogue, fragment_catalogue, program_catalogue, project_catalogue  # noqa: F401  add their queries
+    from plumbline.plans import code_catalogue, fragment_catalogue, history_catalogue, program_catalogue, project_catalogue  # noqa: F401  add their queries
 
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -28,20 +28,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: written once as Parquet in the shared folder and read back.
-
-    Unlike ``checkpoint()`` it runs the plan once, and statistics of the files
-    reach the planner. The folder is a temporary one only
-    in local mode, where none is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one in local mode only, where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/cut/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: written once as Parquet in the shared folder and read back.
+
+    Unlike ``checkpoint()`` it runs the plan once, and statistics of the files
+    reach the planner.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
