@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import clones, fragments
+from plumbline.operators import clones, fragments, syntax
 from plumbline.plans.catalogue import query
 from plumbline.session import cut, table
 from plumbline.sources import lexer
@@ -171,3 +171,11 @@ def clone_groups(spark, d):
 def minhash_bands(spark, d):
     """Buckets of the 20 bands of 10 MinHash values in which different documents meet."""
     return clones.band_buckets(_words(spark, d))
+
+
+@query(f"WITH {_LINES},\n{_spans('fn', '''contains(s.text, 'fn ')''')}" + r""", p AS (
+  SELECT fn.path, fn.start_line, fn.end_line, (CASE WHEN regexp_matches(c, '\bif\b') THEN 1 ELSE 0 END) + (len(c) - len(replace(c, '&&', ''))) // 2 AS points, CASE WHEN regexp_matches(c, '\bif\b') THEN 1 ELSE 0 END AS nest
+  FROM fn JOIN clean ON clean.path = fn.path AND line BETWEEN start_line AND end_line)
+SELECT path, start_line AS line, end_line AS "end", (1 + sum(points))::INT AS cyclomatic, (1 + sum(points))::INT AS cognitive, max(nest)::INT AS nesting_max FROM p GROUP BY path, start_line, end_line""")
+def syntax_complexity(spark, d):
+    return syntax.complexity(lexer.lexed(source_files(spark, d).withColumn("path", F.col("path").cast("string")))).select(F.col("path").cast("long").alias("path"), "line", "end", "cyclomatic", "cognitive", "nesting_max")
