@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import blame
+from plumbline.operators import blame, makeexpand, makefiles
 from plumbline.plans import roles
 from plumbline.plans.catalogue import query
 from plumbline.plans.program_catalogue import _SRC, project_files
@@ -78,3 +78,37 @@ def kept_files(spark, d):
     files = project_files(spark, d).select("path", F.col("text").alias("content"))
     ignore = F.when(F.col("path") == ".gitignore", "# generated\nsrc/part_*\n!src/part_1?.rs\ncustomer_*3.rs\n").otherwise("!customer_13*.rs\n")
     return ignores.discovered(files.unionByName(spark.createDataFrame([(".gitignore",), ("src/.gitignore",)], "path string").withColumn("content", ignore))).filter("path not like '%.gitignore'").select("path")
+
+
+# --- Makefiles
+
+
+def makefile_lines(spark, d) -> DataFrame:
+    """(path, line, text): a customer's orders as assignments; many refer to the one before, with a modifier or not, some to themselves."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("k"))
+    o = o.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("k")))
+    k, here, before = F.col("k").cast("string"), F.concat(F.lit("V_"), F.col("line").cast("string")), F.concat(F.lit("V_"), (F.col("line") - 1).cast("string"))
+    say = lambda *parts: F.concat(here, F.lit(" = "), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kind = F.col("k") % 7
+    text = F.when(kind == 6, say("$(", here, ") again")).when(kind <= 1, say("w", k, ".c $$HOME")).when(kind <= 3, say("$(", before, ") w", k, ".c")).otherwise(say("${", before, ":.c=.o} $(MISSING_", (F.col("k") % 3).cast("string"), ")"))
+    return o.select("path", "line", text.alias("text"))
+
+
+@query(r"""WITH RECURSIVE o AS MATERIALIZED (SELECT o_custkey AS path, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+v(path, i, value) AS (
+  SELECT DISTINCT path, 0::BIGINT, '' FROM o
+  UNION ALL SELECT o.path, o.i, CASE WHEN k % 7 = 6 THEN NULL WHEN k % 7 <= 1 THEN 'w' || k || '.c $HOME' WHEN k % 7 <= 3 THEN value || ' w' || k || '.c'
+    ELSE array_to_string(list_filter(string_split(regexp_replace(value || ' ', '\.c ', '.o ', 'g'), ' '), lambda x: x <> ''), ' ') || ' ' END
+  FROM v JOIN o ON o.path = v.path AND o.i = v.i + 1)
+SELECT path, 'V_' || i AS name, value FROM v WHERE i > 0 AND value IS NOT NULL""")
+def makefile_expansion(spark, d):
+    """Whole values of all variables that aren't circular."""
+    values = makeexpand.expanded(makeexpand.definitions(makefiles.variables(makefile_lines(spark, d))))
+    return values.filter("not circular").select("path", "name", "value")
+
+
+@query("SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS id, o_orderkey FROM orders".join(["WITH o AS (", """)
+SELECT path, id, name FROM (SELECT path, id, 'MISSING_' || (o_orderkey % 3) AS name FROM o WHERE o_orderkey % 7 IN (4, 5) UNION SELECT path, id, 'V_0' FROM o WHERE id = 1 AND o_orderkey % 7 BETWEEN 2 AND 5)"""]))
+def makefile_undefined(spark, d):
+    lines = makefile_lines(spark, d)
+    return makeexpand.undefined(lines.withColumnRenamed("line", "id"), makeexpand.definitions(makefiles.variables(lines)))
