@@ -4,10 +4,11 @@ Documents become pieces of at most ``capacity`` tokens. The lengths' histogram,
 at most ``capacity`` numbers whatever the corpus, goes to the driver. There the
 linear program over configurations (multisets of lengths that fit a sequence)
 is solved by multiplicative weights: each round prices the lengths, a knapsack
-dynamic program finds valuable configurations of different lengths, each is used to a
+dynamic program finds valuable configurations without waste, each is used to a
 share of the demand it meets, and the lengths that it covers get cheaper, until
-all are covered. The solution is rounded up where pieces are left, what is left is solved again
-while that places pieces, and the rounding's remainder is placed best-fit. The
+all are covered. The solution is rounded down. What is left is placed longest
+first, each time with the pieces that fill its sequence best, found exactly by
+their sums. The
 plan is a table of ranges, bounded by rounds and capacity; the pieces, ranked
 within each length, look up their place.
 
