@@ -97,6 +97,36 @@ def defect_confidence(loc: Column, afferent: Column, efferent: Column, churn: Co
     return F.when(loc < 10, 0.5).when(loc < 50, 0.8).otherwise(1.0) * F.when((afferent == 0) & (efferent == 0), 0.9).otherwise(1.0) * F.when(churn == 0, 0.85).otherwise(1.0)
 
 
+# What to do about a file, by its largest factor, by two limits, and for files that are at risk in all.
+ADVICE = {
+    "complexity": ("split its long functions into smaller ones",),
+    "cyclomatic": ("branch less: cyclomatic complexity is high",),
+    "cognitive": ("nest less: cognitive complexity is high",),
+    "churn": ("settle its interface: it changes often", "look through its last changes for flaws of design"),
+    "duplication": ("move repeated code into one place", "share behaviour by composition or by functions as arguments"),
+    "coupling": ("depend on fewer modules", "put interfaces between it and what it uses"),
+    "risk": ("rework it before others: several factors add up", "test more of it", "document its hard parts"),
+}
+
+
+def defect_advice(churn: Column, complexity: Column, duplication: Column, coupling: Column, cyclomatic: Column, cognitive: Column) -> Column:
+    """An array of advice: on the largest weighed factor if that is over 0.2, the last of equal ones, and on the file where all add up to over 0.7."""
+    parts = {
+        "churn": DEFECT["churn"] * on_curve(churn, CHURN_CURVE),
+        "complexity": DEFECT["complexity"] * on_curve(complexity, COMPLEXITY_CURVE),
+        "duplication": DEFECT["duplication"] * clamp(duplication, 0.0, 1.0),
+        "coupling": DEFECT["coupling"] * on_curve(coupling, COUPLING_CURVE),
+    }
+    best, none = F.greatest(*parts.values()), F.expr("cast(array() as array<string>)")
+    said = lambda key: F.array(*[F.lit(x) for x in ADVICE[key]])
+    limits = F.concat(F.when(cyclomatic > 15, said("cyclomatic")).otherwise(none), F.when(cognitive > 20, said("cognitive")).otherwise(none))
+    main = none
+    for name, part in parts.items():
+        main = F.when(part == best, F.concat(said(name), limits) if name == "complexity" else said(name)).otherwise(main)
+    total = parts["churn"] + parts["complexity"] + parts["duplication"] + parts["coupling"]
+    return F.concat(F.when(best > 0.2, main).otherwise(none), F.when(total > 0.7, said("risk")).otherwise(none))
+
+
 def composite_rank(most: Column, mean_cognitive: Column, functions: Column) -> Column:
     score = 0.4 * F.least(most, F.lit(50)) / 50 * 100 + 0.4 * F.least(mean_cognitive, F.lit(100.0)) / 100 * 100 + 0.2 * F.least(functions, F.lit(100)) / 100 * 50
     return F.when(functions == 0, 0.0).otherwise(score)

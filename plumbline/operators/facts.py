@@ -62,10 +62,21 @@ def debt_hours(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"), F.count(F.when(F.col("severity") == "warning", 1)).alias("warnings"), F.round(F.sum(F.when(F.col("severity") == "error", 30 * over).otherwise(15 * over)) / 60, 6).alias("debt_hours"))
 
 
+def upper_tenth(functions: DataFrame, column: str) -> DataFrame:
+    """One row (p90_column): the element at floor(0.9 n) of the sorted values, the last one at most, from the counts of each value."""
+    counts = functions.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.orderBy(column))  # a row for each different complexity
+    n = F.sum("c").over(Window.partitionBy())
+    k = F.least(F.floor(n * 0.9), n - 1)
+    return counts.withColumn("upto", upto).withColumn("k", k).agg(F.min(F.when(F.col("upto") > F.col("k"), F.col(column))).alias(f"p90_{column}"))
+
+
 def complexity_report(functions: DataFrame) -> DataFrame:
-    """One row: counts, medians, maxima and debt hours."""
+    """One row: counts, medians, 90th percentiles, maxima and debt hours."""
     totals = functions.agg(F.count("*").alias("functions"), F.countDistinct("path").alias("files"), F.round(F.median("cyclomatic"), 6).alias("median_cyclomatic"), F.round(F.median("cognitive"), 6).alias("median_cognitive"), F.max("cyclomatic").alias("max_cyclomatic"), F.max("cognitive").alias("max_cognitive"))
-    return totals.crossJoin(F.broadcast(debt_hours(violations(functions))))  # one row each
+    for one in (upper_tenth(functions, "cyclomatic"), upper_tenth(functions, "cognitive"), debt_hours(violations(functions))):
+        totals = totals.crossJoin(F.broadcast(one))  # one row each
+    return totals
 
 
 def complexity_rank(functions: DataFrame) -> DataFrame:

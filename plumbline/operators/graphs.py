@@ -181,5 +181,6 @@ def component_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
 def group_budget(ranks: DataFrame, most: int) -> DataFrame:
     """ranks(id, group, rank): whole groups by falling rank sum while their nodes fit in ``most``."""
     per = ranks.groupBy("group").agg(F.count("*").alias("size"), F.round(F.sum("rank"), 9).alias("score"))
+    per = per.orderBy(F.desc("score"), "group").limit(most)  # a group has a node at least, so no more fit
     w = Window.orderBy(F.desc("score"), "group").rowsBetween(Window.unboundedPreceding, 0)
     return per.withColumn("running", F.sum("size").over(w)).filter(F.col("running") <= most)

@@ -58,3 +58,9 @@ def violations(lines: DataFrame) -> DataFrame:
         .union(row(assigned.filter(F.col("operator").isin("?=", "!=")), "portability", "info"))
         .union(row(again.join(costly(assigned), ["path", "name"]), "recursive-expansion", "performance"))
     )
+
+
+def ordered(found: DataFrame, limit: int) -> DataFrame:
+    """The first violations: errors, then warnings, then the rest, each by line, path and name."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return found.orderBy(rank, "line", "path", "name").limit(limit)

@@ -14,7 +14,7 @@ from plumbline.functions import stats, text
 from plumbline.operators import clones, facts, graphs
 from plumbline.plans import roles
 from plumbline.plans.roles import with_
-from plumbline.session import table
+from plumbline.session import cut, table
 from plumbline.sources import trees
 
 QUERIES: dict[str, tuple] = {}
@@ -106,18 +106,25 @@ def tdg_histogram(spark, d):
 
 @query(with_("commits") + ", " + _TDG + "SELECT path, round(100.0 * (rank() OVER (ORDER BY value) - 1) / count(*) OVER (), 6) AS percentile FROM tdg")
 def tdg_percentile(spark, d):
-    g = _gradient(spark, d)
+    g = cut(_gradient(spark, d).select("path", "value"))
     counts = g.groupBy("value").agg(F.count("*").alias("c"))  # ranks over the distinct values only
     below = stats.running(counts, "value").withColumnRenamed("before", "below")
     n = counts.agg(F.sum("c").alias("n"))
     return g.join(below, "value").crossJoin(F.broadcast(n)).select("path", F.round(100.0 * F.col("below") / F.col("n"), 6).alias("percentile"))
 
 
+@query(with_("commits") + ", " + _TDG + "SELECT path, value FROM tdg WHERE value > 1.5 ORDER BY value DESC, path LIMIT 20")
+def tdg_hotspots(spark, d):
+    return _gradient(spark, d).filter("value > 1.5").select("path", "value").orderBy(F.desc("value"), "path").limit(20)
+
+
 # --- complexity
 
 
-@query(with_("functions", "violations") + """, t AS (SELECT count(*) AS functions, count(DISTINCT path) AS files, round(median(cyclomatic), 6) AS median_cyclomatic, round(median(cognitive), 6) AS median_cognitive, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive FROM functions)
-SELECT t.*, v.* FROM t, (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, round(sum(CASE WHEN severity = 'error' THEN 30 * (value - threshold) ELSE 15 * (value - threshold) END) / 60, 6) AS debt_hours FROM violations) AS v""")
+@query(with_("functions", "violations") + """, t AS (SELECT count(*) AS functions, count(DISTINCT path) AS files, round(median(cyclomatic), 6) AS median_cyclomatic, round(median(cognitive), 6) AS median_cognitive, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive FROM functions),
+p AS (SELECT max(CASE WHEN a = least(floor(n * 0.9), n - 1) THEN cyclomatic END) AS p90_cyclomatic, max(CASE WHEN b = least(floor(n * 0.9), n - 1) THEN cognitive END) AS p90_cognitive
+  FROM (SELECT cyclomatic, cognitive, row_number() OVER (ORDER BY cyclomatic) - 1 AS a, row_number() OVER (ORDER BY cognitive) - 1 AS b, count(*) OVER () AS n FROM functions))
+SELECT t.*, p.*, v.* FROM t, p, (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, round(sum(CASE WHEN severity = 'error' THEN 30 * (value - threshold) ELSE 15 * (value - threshold) END) / 60, 6) AS debt_hours FROM violations) AS v""")
 def complexity_report(spark, d):
     return facts.complexity_report(roles.functions(spark, d))
 
@@ -382,6 +389,22 @@ def defect_probability(spark, d):
     return _probability(spark, d).select("path", F.round("p", 6).alias("probability"), sc.risk_level(F.col("p")).alias("risk"))
 
 
+def _advice_sql() -> str:
+    said = {k: "[" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in sc.ADVICE.items()}
+    limits = f"(CASE WHEN complexity > 15 THEN {said['cyclomatic']} ELSE [] END) || (CASE WHEN loc % 40 > 20 THEN {said['cognitive']} ELSE [] END)"
+    return f"""f AS (SELECT path, loc, complexity, 0.35 * ({_curve("churn", sc.CHURN_CURVE)}) AS a, 0.30 * ({_curve("complexity", sc.COMPLEXITY_CURVE)}) AS b, 0.25 * greatest(0, least(1, duplication)) AS c, 0.10 * ({_curve("afferent", sc.COUPLING_CURVE)}) AS d FROM metrics),
+m AS (SELECT *, greatest(a, b, c, d) AS best FROM f)
+SELECT path, array_to_string((CASE WHEN best <= 0.2 THEN [] WHEN d = best THEN {said["coupling"]} WHEN c = best THEN {said["duplication"]} WHEN b = best THEN {said["complexity"]} || {limits} ELSE {said["churn"]} END)
+  || (CASE WHEN a + b + c + d > 0.7 THEN {said["risk"]} ELSE [] END), '; ') AS advice FROM m"""
+
+
+@query(with_("metrics") + ", " + _advice_sql())
+def defect_advice(spark, d):
+    m = F.col
+    advice = sc.defect_advice(m("churn"), m("complexity"), m("duplication"), m("afferent"), m("complexity"), m("loc") % 40)
+    return roles.file_metrics(spark, d).select("path", F.array_join(advice, "; ").alias("advice"))
+
+
 @query(with_("metrics") + "SELECT path, round(CASE WHEN loc < 10 THEN 0.5 WHEN loc < 50 THEN 0.8 ELSE 1.0 END * CASE WHEN afferent = 0 AND efferent = 0 THEN 0.9 ELSE 1.0 END * CASE WHEN churn = 0 THEN 0.85 ELSE 1.0 END, 6)::DOUBLE AS confidence FROM metrics")
 def defect_confidence(spark, d):
     return roles.file_metrics(spark, d).select("path", F.round(sc.defect_confidence(F.col("loc"), F.col("afferent"), F.col("efferent"), F.col("churn")), 6).alias("confidence"))

@@ -112,3 +112,10 @@ SELECT path, id, name FROM (SELECT path, id, 'MISSING_' || (o_orderkey % 3) AS n
 def makefile_undefined(spark, d):
     lines = makefile_lines(spark, d)
     return makeexpand.undefined(lines.withColumnRenamed("line", "id"), makeexpand.definitions(makefiles.variables(lines)))
+
+
+@query("""WITH o AS (SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS line, o_orderkey AS k FROM orders)
+SELECT path, line, 'undefinedvariable' AS rule, 'warning' AS severity, name FROM (SELECT path, line, 'MISSING_' || (k % 3) AS name FROM o WHERE k % 7 IN (4, 5) UNION ALL SELECT path, line, 'V_0' FROM o WHERE line = 1 AND k % 7 BETWEEN 2 AND 5)
+ORDER BY line, path, name LIMIT 50""")
+def makefile_first_violations(spark, d):
+    return makefiles.ordered(makefiles.violations(makefile_lines(spark, d)), 50)
