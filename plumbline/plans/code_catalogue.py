@@ -46,10 +46,17 @@ def churn_proxy(spark, d):
     return code.churn_proxy(roles.code_lines(spark, d))
 
 
-@query(with_("code") + r""", w AS (SELECT path, line, text, sum(CASE WHEN contains(text, 'if ') OR contains(text, 'while ') OR contains(text, 'for ') OR contains(text, 'match ') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'else') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS c FROM code)
-SELECT path, line, regexp_extract(text, '(?:fn|def|function)\s+(\w+)', 1) AS name, least(1 + c, 255)::INT AS cyclomatic, line + 9 AS line_end FROM w WHERE regexp_matches(text, '(?:fn|def|function)\s+(\w+)')""")
+@query(with_("code", recursive=True) + r""", r AS MATERIALIZED (SELECT path, line, text, trim(text) AS t, row_number() OVER (PARTITION BY path ORDER BY line) AS r,
+  contains(trim(text), 'if ') OR contains(trim(text), 'while ') OR contains(trim(text), 'for ') OR contains(trim(text), 'match ') AS branch FROM code),
+w(path, r0, k, depth, cyc, cog) AS (
+  SELECT path, r, 0::BIGINT, 0, 1, 0 FROM r WHERE regexp_matches(text, '(?:fn|def|function)\s+(\w+)')
+  UNION ALL SELECT w.path, r0, k + 1, CASE WHEN t LIKE '%{' THEN depth + 1 WHEN t LIKE '}%' THEN greatest(depth - 1, 0) ELSE depth END,
+    cyc + CASE WHEN branch THEN 1 ELSE 0 END + CASE WHEN contains(t, 'else') THEN 1 ELSE 0 END, cog + CASE WHEN branch THEN 1 + depth ELSE 0 END + CASE WHEN contains(t, 'else') THEN 1 ELSE 0 END
+  FROM w JOIN r ON r.path = w.path AND r.r = r0 + k WHERE k < 20)
+SELECT path, r.line, regexp_extract(text, '(?:fn|def|function)\s+(\w+)', 1) AS name, least(max(cyc), 255)::INT AS cyclomatic, least(max(cog), 255)::INT AS cognitive, r.line + 9 AS line_end
+FROM w JOIN r USING (path) WHERE r.r = r0 GROUP BY path, r.line, text""")
 def function_windows(spark, d):
-    return code.function_windows(roles.code_lines(spark, d)).drop("cognitive")
+    return code.function_windows(roles.code_lines(spark, d))
 
 
 @query(with_("code") + r""", a AS (SELECT path, line, text, regexp_extract(lead(text, 1) OVER w, 'fn\s+(\w+)', 1) AS x, regexp_extract(lead(text, 2) OVER w, 'fn\s+(\w+)', 1) AS y, regexp_extract(lead(text, 3) OVER w, 'fn\s+(\w+)', 1) AS z FROM code WINDOW w AS (PARTITION BY path ORDER BY line))
