@@ -160,9 +160,10 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
     SimHash's links come first. Where the pairs between components are more than
     ``spread`` times the members, members are then held against one of their
     bucket, until under 16 times as many pairs are left or a round finds a link
-    for under a hundredth of the members. Then all pairs that are left are tried.
+    for under a hundredth of the members. Then all pairs that are left are tried,
+    each once.
     """
-    keyed = nodes.select("node", "size", "planes", F.posexplode("bands").alias("band", "hash")).select("node", "size", "planes", F.xxhash64("band", "hash").alias("bucket"))
+    keyed = nodes.select("node", "size", "planes", F.posexplode("bands").alias("band", "hash")).select("node", "size", "planes", "band", F.xxhash64("band", "hash").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = stored(keyed.join(shared, "bucket"))
     near = stored(alike(nodes.filter("size > 0")))
@@ -182,13 +183,17 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
         if not total["n"]:
             return found
         last = total["pairs"] <= spread * (16 if at else 1) * total["n"] or (at > 0 and 100 * new < total["n"])
+        first_met = F.lit(True)
         if last:
-            other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("planes").alias("other_planes"), F.col("component").alias("other_component"))
+            # a pair is tried in the first band that both share, not in each
+            now = stored(now.join(nodes.select("node", "bands"), "node"))
+            other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("planes").alias("other_planes"), F.col("component").alias("other_component"), F.col("bands").alias("other_bands"))
+            first_met = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True) == F.col("band") + 1
         else:
             first = F.min_by(F.struct("node", "size", "planes", "component"), F.col("node") if at == 0 else F.xxhash64("node", "bucket", F.lit(at)))
             other = now.groupBy("bucket").agg(first.alias("x")).select("bucket", F.col("x.node").alias("other"), F.col("x.size").alias("other_size"), F.col("x.planes").alias("other_planes"), F.col("x.component").alias("other_component"))
         once = F.col("node") < F.col("other") if last else F.lit(True)
-        tried = now.join(other, "bucket").filter((F.col("component") != F.col("other_component")) & once & close).select(*pair).distinct()
+        tried = now.join(other, "bucket").filter((F.col("component") != F.col("other_component")) & once & close & first_met).select(*pair).distinct()
         got = stored(confirmed(tried, texts, threshold))
         found, new, at = found.union(got), got.count(), at + 1
         if last:
