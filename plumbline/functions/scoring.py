@@ -176,3 +176,18 @@ def growth_name(order: Column) -> Column:
 
 def lint_density(violations: Column, sloc: Column) -> Column:
     return F.when(sloc > 0, violations / sloc).otherwise(0.0)
+
+
+def master_theorem(calls: Column, divisor: Column, work: Column) -> Column:
+    """The name of the growth of T(n) = calls * T(n / divisor) + n ** work, for work 0 or 1; null where the theorem says nothing.
+
+    The exponent is log(calls) by the divisor, rounded up where it is not met
+    exactly. One call with constant work is logarithmic.
+    """
+    exact = F.ln(calls) / F.ln(divisor)
+    # powers are met exactly but for rounding
+    power = F.when(F.abs(exact - F.round(exact)) < 1e-9, F.round(exact)).otherwise(F.ceil(exact)).cast("int")
+    name = F.when(power == 0, "O(1)").when(power == 1, "O(n)").otherwise(F.concat(F.lit("O(n^"), power.cast("string"), F.lit(")")))
+    constant = F.when(power == 0, "O(log n)").otherwise(name)
+    linear = F.when(F.abs(exact - 1) < 0.01, "O(n log n)").when(exact < 1, "O(n)").otherwise(name)
+    return F.when((calls >= 1) & (divisor > 1), F.when(work == 0, constant).when(work == 1, linear))

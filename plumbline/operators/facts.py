@@ -64,11 +64,11 @@ def debt_hours(found: DataFrame) -> DataFrame:
 
 def upper_tenth(functions: DataFrame, column: str) -> DataFrame:
     """One row (p90_column): the element at floor(0.9 n) of the sorted values, the last one at most, from the counts of each value."""
-    counts = functions.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy(column))  # a row for each different complexity
-    n = F.sum("c").over(Window.partitionBy())
-    k = F.least(F.floor(n * 0.9), n - 1)
-    return counts.withColumn("upto", upto).withColumn("k", k).agg(F.min(F.when(F.col("upto") > F.col("k"), F.col(column))).alias(f"p90_{column}"))
+    counts = functions.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_value"))  # a row for each different complexity
+    n = F.sum("_n").over(Window.partitionBy())
+    placed = counts.select("_value", upto.alias("_upto"), F.least(F.floor(n * 0.9), n - 1).alias("_k"))
+    return placed.agg(F.min(F.when(F.col("_upto") > F.col("_k"), F.col("_value"))).alias(f"p90_{column}"))
 
 
 def complexity_report(functions: DataFrame) -> DataFrame:

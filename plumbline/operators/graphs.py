@@ -57,6 +57,13 @@ def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("nodes", "edges", F.round(F.when(n > 1, 2 * e / (n * (n - 1))).otherwise(0.0), 6).alias("density"), F.round(2 * e / n, 6).alias("average_degree"), "max_degree")
 
 
+def component_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes, edges, components, largest): how many weak components there are, and the nodes of the largest."""
+    sizes = components(nodes.select("id"), edges).groupBy("component").agg(F.count("*").alias("n"))
+    per = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    return per.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges")))).select("nodes", "edges", "components", "largest")  # one row each
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 10, damping: float = 0.85, normalised: bool = False, dangling: bool = False, threshold: float | None = None, seeds: DataFrame | None = None, cut_every: int = 5) -> DataFrame:
     """(id, rank).
 

@@ -658,6 +658,23 @@ def makefile_quality(spark, d):
     return table(spark, d, "supplier").select(k.alias("path"), F.round(sc.makefile_quality(k % 3, k % 4, k % 5), 6).alias("quality"))
 
 
+@query("""WITH r AS (SELECT l_linenumber AS a, p_size % 5 AS b, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
+e AS (SELECT *, CASE WHEN a >= 1 AND b > 1 THEN ln(a) / ln(b) END AS x FROM r), p AS (SELECT *, CASE WHEN abs(x - round(x)) < 1e-9 THEN round(x) ELSE ceil(x) END::INT AS p FROM e)
+SELECT CASE WHEN x IS NULL OR k = 2 THEN 'none' WHEN k = 1 AND abs(x - 1) < 0.01 THEN 'O(n log n)' WHEN k = 1 AND x < 1 THEN 'O(n)' WHEN p = 0 THEN 'O(log n)' WHEN p = 1 THEN 'O(n)' ELSE 'O(n^' || p || ')' END AS growth, count(*) AS functions FROM p GROUP BY 1""")
+def master_theorem(spark, d):
+    r = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    work = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    b = F.col("p_size") % 5
+    growth = sc.master_theorem(F.col("l_linenumber"), F.when(b > 1, b), work)
+    return r.groupBy(F.coalesce(growth, F.lit("none")).alias("growth")).agg(F.count("*").alias("functions"))
+
+
+@query(with_("graph", recursive=True) + """, u AS (SELECT f, t FROM e UNION SELECT t, f FROM e), w(id, c) AS (SELECT id, id FROM n UNION SELECT u.t, w.c FROM w JOIN u ON u.f = w.id)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, count(DISTINCT c)::BIGINT AS components, max(size)::BIGINT AS largest FROM (SELECT c, count(*) AS size FROM (SELECT id, min(c) AS c FROM w GROUP BY id) GROUP BY c)""")
+def graph_components(spark, d):
+    return graphs.component_totals(*_all(spark, d))
+
+
 @query("SELECT p_partkey AS path, round((p_size + 10) * log2(p_size), 6) AS volume, round(p_size / 4 * 10 / (p_size / 2), 6) AS difficulty FROM part")
 def halstead(spark, d):
     s = F.col("p_size")
