@@ -8,7 +8,9 @@ words so is depleted and rejected.
 
 A line that only copies of a few texts share is no boilerplate: a line over
 the limits stands in more than ``min_texts`` different texts as well. Copies
-are left to near-duplicate removal, which keeps one of them.
+are left to near-duplicate removal, which keeps one of them. In a host of under
+ten times ``min_texts`` documents, over a tenth of them, but over ``least``, are
+enough, of documents and of texts.
 
 Defined results
 ---------------
@@ -42,16 +44,20 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(line_key(x).alias("line"), F.size(words_of(x)).alias("n")))
 
 
-def frequent_lines(profiles: DataFrame, *, min_docs: int = 50, min_texts: int = 50, max_share: float = 0.05) -> DataFrame:
+def frequent_lines(profiles: DataFrame, *, min_docs: int = 50, min_texts: int = 50, least: int = 5, max_share: float = 0.05, most_hosts: int = 100_000) -> DataFrame:
     """(host, line) of the lines above the limits, from profiles (doc_id, host, text_hash, lines).
 
     More than ``min_docs`` documents of the host, more than ``max_share`` of
     its documents and more than ``min_texts`` different texts hold such a line.
+    In a small host a tenth of its documents, or ``least`` if that is more,
+    stands for either number where it is below it. Hosts are broadcast while they are at most ``most_hosts``.
     """
-    hosts = profiles.groupBy("host").agg(F.count_distinct("doc_id").alias("in_host"))
+    hosts = stored(profiles.groupBy("host").agg(F.count_distinct("doc_id").alias("in_host")))
     held = profiles.select("host", "doc_id", "text_hash", F.explode(F.array_distinct("lines.line")).alias("line"))
-    counts = held.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("text_hash").alias("n_texts")).filter((F.col("n_docs") > min_docs) & (F.col("n_texts") > min_texts))
-    return counts.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("in_host")).select("host", "line")
+    counts = held.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("text_hash").alias("n_texts")).filter((F.col("n_docs") > min(min_docs, least)) & (F.col("n_texts") > min(min_texts, least)))
+    sized = counts.join(F.broadcast(hosts), "host") if hosts.count() <= most_hosts else looked_up(stored(counts), hosts, ["host"], "inner")
+    over = lambda n, limit: (F.col(n) > limit) | ((F.col(n) > least) & (10 * F.col(n) > F.col("in_host")))
+    return sized.filter(over("n_docs", min_docs) & over("n_texts", min_texts) & (F.col("n_docs") > max_share * F.col("in_host"))).select("host", "line")
 
 
 def line_verdicts(profiles: DataFrame, frequent: DataFrame, *, min_left: float = 0.3) -> DataFrame:
@@ -161,7 +167,7 @@ ln AS (
 fr AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS c, count(DISTINCT t) AS k FROM ln GROUP BY host, line)
   JOIN (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host) USING (host)
-  WHERE c > 50 AND k > 50 AND c > 0.05 * n),
+  WHERE (c > 50 OR (c > 5 AND 10 * c > n)) AND (k > 50 OR (k > 5 AND 10 * k > n)) AND c > 0.05 * n),
 held AS (SELECT doc_id, host, line, len(line) - len(replace(line, ' ', '')) + 1 AS n FROM ln),
 sh AS (
   SELECT doc_id, sum(CASE WHEN fr.line IS NOT NULL THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS removed

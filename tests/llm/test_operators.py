@@ -45,6 +45,24 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(docs).filter("kept").count() == len(kept)
 
 
+def test_frequent_lines_of_small_hosts(spark):
+    """Over a tenth of a small host's documents and texts, and over five, make a line frequent."""
+    line = "the same line\n"
+    hosts = {"fifty six": (50, 6), "fifty five": (50, 5), "ten six": (10, 6), "eighty eight": (80, 8), "eighty nine": (80, 9)}
+    data, expected = [], {}
+    for host, (n, holds) in hosts.items():
+        for k in range(n):
+            doc = len(data)
+            data.append((doc, (line if k < holds else "") + f"word{doc} " * 6, "en", host, 7, "", 0, ""))
+            expected[doc] = 1 / 3 if k < holds and host in ("fifty six", "ten six", "eighty nine") else 0
+    docs = corpus.table(spark, data)
+    for most in (100_000, 0):  # hosts broadcast or shuffled
+        got = by_id(quality_rules.quality_rules(docs, min_words=1, max_repeat_percent=100, most_hosts=most))
+        assert {d: pytest.approx(r[0].removed_share) for d, r in got.items()} == expected
+    near = [(k, line * 3 + "other words" * (1 + k % 5), "en", "copies", 7, "", 0, "") for k in range(40)]
+    assert all(r.removed_share == 0 for r in quality_rules.quality_rules(corpus.table(spark, near)).collect())
+
+
 def test_frequent_lines_go_and_deplete(spark):
     """100 documents of one host with two menu lines; 80 have hardly more. Copies of one text make no line frequent."""
     menu = "Menu  one\nmenu two\n"
