@@ -13,7 +13,11 @@ shingles themselves.
 A node carries four bits of each of its MinHash values. Candidates at the
 threshold differ in 45 of the 240 places on average; those that differ in over
 ``APART`` = 82 are left out before any text is read, wrongly with probability
-5e-9. That drops most pairs that merely share a passage. In a bucket, first all
+5e-9. That drops most pairs that merely share a passage. Before all pairs of a
+bucket are tried, those are left out whose odd sketches differ in more places
+than the sets themselves may: a place holds whether an odd number of shingles
+falls on it, so that no two sets differ in fewer shingles than their sketches
+in places. Nothing is dropped wrongly there. In a bucket, first all
 members are held against one of them; only members that are in different
 components by then are held against each other, so a large group costs one
 comparison a member and bucket, not its square, unless its links are spread.
@@ -45,6 +49,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 PLANES = 4
 APART = 82
+#: The places of an odd sketch.
+PLACES = 1024
 SEED = 42
 
 
@@ -92,6 +98,17 @@ def planes(least: np.ndarray) -> list[int]:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
+def odd_sketch(hashes: np.ndarray) -> list[int]:
+    """Of each place whether an odd number of a set's hashes falls on it, 64 places in a long."""
+    odd = np.bincount((hashes & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def unlike(a: str, b: str) -> Column:
+    """In how many places two odd sketches differ, never more than the sets do in elements."""
+    return reduce(Column.__add__, [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(PLACES // 64)])
+
+
 def differing(a: str, b: str) -> Column:
     """In how many MinHash values the bits of two nodes differ."""
     width = -(-BANDS * ROWS // 64)
@@ -103,7 +120,7 @@ def differing(a: str, b: str) -> Column:
 
 
 def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, node, size, fp, bands, planes): the node is a 128-bit hash of the shingle set; no bands without shingles."""
+    """(doc_id, text_hash, node, size, fp, bands, planes, odd): the node is a 128-bit hash of the shingle set; no bands without shingles."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("text_hash"))
 
     def run(batches):
@@ -114,14 +131,14 @@ def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
             for t in batch.column(1):
                 s = shingles(t.as_py())
                 least = least_values(s) if len(s) else None
-                out.append((xxhash.xxh128_hexdigest(s.tobytes()), len(s), np.uint64(simhash.majority(s)).view(np.int64), [] if least is None else bands(least), [] if least is None else planes(least)))
-            node, size, fp, band, plane = zip(*out) if out else ((),) * 5
+                out.append((xxhash.xxh128_hexdigest(s.tobytes()), len(s), np.uint64(simhash.majority(s)).view(np.int64), [] if least is None else bands(least), [] if least is None else planes(least), odd_sketch(s)))
+            node, size, fp, band, plane, odd = zip(*out) if out else ((),) * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(node, pa.string()), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(plane, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "node", "size", "fp", "bands", "planes"],
+                [batch.column(0), batch.column(2), pa.array(node, pa.string()), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(plane, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "size", "fp", "bands", "planes", "odd"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, node string, size long, fp long, bands array<long>, planes array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, node string, size long, fp long, bands array<long>, planes array<long>, odd array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +170,7 @@ def alike(nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, spread: int = 4) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes`` (node, size, fp, bands, planes) as their confirmed candidates do.
+    """Edges (a, b) that connect all ``nodes`` (node, size, fp, bands, planes, odd) as their confirmed candidates do.
 
     Confirmed links are replaced by those of their components' nodes to the smallest one after every round.
 
@@ -186,9 +203,11 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
         first_met = F.lit(True)
         if last:
             # a pair is tried in the first band that both share, not in each
-            now = stored(now.join(nodes.select("node", "bands"), "node"))
-            other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("planes").alias("other_planes"), F.col("component").alias("other_component"), F.col("bands").alias("other_bands"))
+            now = stored(now.join(nodes.select("node", "bands", "odd"), "node"))
+            other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("planes").alias("other_planes"), F.col("component").alias("other_component"), F.col("bands").alias("other_bands"), F.col("odd").alias("other_odd"))
             first_met = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True) == F.col("band") + 1
+            # at the threshold t, sets of a and b elements differ in (a + b) * (1 - t) / (1 + t) at most
+            close = close & (unlike("odd", "other_odd") <= (F.col("size") + F.col("other_size")) * (1 - threshold) / (1 + threshold) + 1e-6)
         else:
             first = F.min_by(F.struct("node", "size", "planes", "component"), F.col("node") if at == 0 else F.xxhash64("node", "bucket", F.lit(at)))
             other = now.groupBy("bucket").agg(first.alias("x")).select("bucket", F.col("x.node").alias("other"), F.col("x.size").alias("other_size"), F.col("x.planes").alias("other_planes"), F.col("x.component").alias("other_component"))
@@ -203,7 +222,7 @@ def links(nodes: DataFrame, texts: DataFrame, *, threshold: float = THRESHOLD, s
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose id is the smallest of their component."""
     found = stored(signatures(docs, doc_id=doc_id, text=text))
-    nodes = stored(found.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("planes").alias("planes"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("row")))
+    nodes = stored(found.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("planes").alias("planes"), F.first("odd").alias("odd"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("row")))
     # one row stands for each node, so that its text moves once
     rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text_of(text)).alias("_hash"), text_of(text).alias("text"))
     named = nodes.select("node", "row.doc_id", "row.text_hash")

@@ -3,6 +3,7 @@
 import random
 
 import corpus
+import numpy as np
 from plumbline.llm import near_copies
 
 
@@ -53,3 +54,15 @@ def test_awkward_rows(docs, empty):
     ids = [r["doc_id"] for r in got.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(brute({r[0]: r[1] or "" for r in corpus.rows() if r[0] is not None}))
     assert None in ids and near_copies.deduplicated(empty).count() == 0
+
+
+def test_odd_sketches_differ_in_no_more_places_than_sets(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (1, 10, 150, 1000, 20000):
+        for changed in (0, 1, size // 10, size // 5, size):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+            rows.append((near_copies.odd_sketch(a), near_copies.odd_sketch(b), len(np.setxor1d(a, b))))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, apart int").select("apart", near_copies.unlike("a", "b").alias("n")).collect()
+    assert all(r.n <= r.apart for r in got) and all(r.n >= 0.7 * r.apart for r in got if r.apart <= 300)
