@@ -45,11 +45,14 @@ def spans(lexed: DataFrame, start: Column) -> DataFrame:
     semicolon and blocks that close in their own line are none.
     """
     w = Window.partitionBy("path").orderBy("line")
-    code = F.size("tokens") > 0
-    rows = lexed.withColumn("before", F.coalesce(F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("begins", start & code).withColumn("code_before", F.last(F.when(code, F.col("line")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    ended = (F.col("delta") == F.col("low")) & ((F.col("opened") > 0) | (F.get("tokens", F.size("tokens") - 1)["t"] == ";"))
+    has_code = F.size("tokens") > 0
+    # neither texts nor tokens are dealt by file, only what they say
+    rows = lexed.select("path", "language", "line", "indent", "delta", "low", "closes", "inside", has_code.alias("code"), F.coalesce(start & has_code, F.lit(False)).alias("begins"), F.coalesce(ended, F.lit(False)).alias("ended"))
+    code, ended = F.col("code"), F.col("ended")
+    rows = rows.withColumn("before", F.coalesce(F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("code_before", F.last(F.when(code, F.col("line")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     python = F.col("language") == "python"
-    ended = (F.col("delta") == F.col("low")) & ((F.col("opened") > 0) | (F.element_at("tokens", -1)["t"] == ";"))
 
     braces = rows.filter(~python)
     from_ = braces.filter(F.col("begins") & ~ended).select("path", (F.col("before") + F.col("low")).alias("level"), "line", F.lit(None).cast("int").alias("close"))
@@ -73,16 +76,18 @@ def fragments(lexed: DataFrame, *, min_tokens: int = 50) -> DataFrame:
     is its text and its kind.
     """
     lexed = cut(lexed.select("path", "language", "line", "text", "tokens", "indent", "delta", "low", "opened", "closes", "inside"))
-    found = spans(lexed, starts_function(F.col("text"), F.col("language")))
-    each = found.select("path", "start_line", "end_line", F.explode(F.sequence("start_line", "end_line")).alias("line")).join(lexed.select("path", "language", "line", "tokens"), ["path", "line"])
-
-    def gathered(rows: DataFrame, *by: str) -> DataFrame:
-        together = rows.groupBy("path", "language", *by).agg(F.sort_array(F.collect_list(F.struct("line", "tokens"))).alias("rows"), F.max("line").alias("lines"))
-        return together.withColumn("tokens", F.flatten("rows.tokens")).filter(F.size("tokens") >= min_tokens)
-
-    functions = cut(gathered(each, "start_line", "end_line").drop("rows", "lines"))
-    whole = gathered(lexed.join(functions.select("path").distinct(), "path", "left_anti")).select("path", "language", F.lit(1).alias("start_line"), F.col("lines").alias("end_line"), "tokens")
-    return functions.unionByName(whole).select(F.concat_ws(":", F.col("path").cast("string"), "start_line", "end_line").alias("id"), "path", "language", "start_line", "end_line", "tokens")
+    found = spans(lexed, starts_function(F.col("text"), F.col("language"))).groupBy("path").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))
+    # a file's lines are dealt once; its functions are slices of them, so no line is joined to its functions
+    files = lexed.groupBy("path", "language").agg(F.sort_array(F.collect_list(F.struct("line", "tokens"))).alias("rows"))
+    files = files.hint("merge").join(found, "path", "left")  # small on disk is not small in memory: no side is sent to all
+    of = lambda rows: F.flatten(rows["tokens"])
+    # lines are numbered from 1 without gaps, so a line's place is its number
+    cuts = F.transform(F.coalesce("spans", F.array()), lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), of(F.slice("rows", s["start_line"], s["end_line"] - s["start_line"] + 1)).alias("tokens"), F.lit(True).alias("within")))
+    whole = F.array(F.struct(F.lit(1).alias("start_line"), F.size("rows").alias("end_line"), of(F.col("rows")).alias("tokens"), F.lit(False).alias("within")))
+    long_ = files.withColumn("cuts", F.filter(cuts, lambda c: F.size(c["tokens"]) >= min_tokens))
+    kept = F.when(F.size("cuts") > 0, F.col("cuts")).otherwise(whole)
+    out = long_.select("path", "language", F.inline(kept)).filter(F.col("within") | (F.size("tokens") >= min_tokens))
+    return out.select(F.concat_ws(":", F.col("path").cast("string"), "start_line", "end_line").alias("id"), "path", "language", "start_line", "end_line", "tokens")
 
 
 def renamed(tokens: Column) -> Column:

@@ -19,3 +19,15 @@ def plan(df, capsys):
 def test_similar_sets_send_no_side_to_all(spark, capsys):
     sets = cut(spark.range(300).select("id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x + F.col("id")).alias("s")))
     assert "BroadcastHashJoin" not in plan(simjoin.similar_sets(sets, 0.7), capsys)
+
+
+def test_fragments_join_no_lines(spark, capsys, monkeypatch):
+    body = "\n".join(f"    let a_{k} = b({k}) + c;" for k in range(10))
+    text = f"fn one() {{\n{body}\n    fn two() {{\n{body}\n    }}\n}}\nfn short() {{\n}}\n"
+    files = spark.createDataFrame([(1, "rust", text), (2, "rust", body), (3, "rust", "fn short() {}")], "path long, language string, text string")
+    written = []
+    monkeypatch.setattr(fragments, "cut", lambda df: written.append(df) or cut(df))
+    found = fragments.fragments(lexer.lexed(files))
+    assert len(written) == 1  # the lines; functions' tokens are not written as well
+    assert not re.search(r"Join \[path#\d+L?, line", plan(found, capsys))
+    assert {(x.id, len(x.tokens)) for x in found.collect()} == {("1:1:24", 212), ("1:12:23", 106), ("2:1:10", 100)}
