@@ -31,3 +31,11 @@ def test_fragments_join_no_lines(spark, capsys, monkeypatch):
     assert len(written) == 1  # the lines; functions' tokens are not written as well
     assert not re.search(r"Join \[path#\d+L?, line", plan(found, capsys))
     assert {(x.id, len(x.tokens)) for x in found.collect()} == {("1:1:24", 212), ("1:12:23", 106), ("2:1:10", 100)}
+
+
+def test_proofs_join_only_lines_that_matter(spark, capsys):
+    files = spark.createDataFrame([("a.rs", "rust", RUST)], "path string, language string, text string")
+    found = program.proofs(lexer.lexed(files))
+    assert "explode(tokens" not in plan(found, capsys)
+    got = {(x.id.rsplit("::", 1)[-1], x.property) for x in found.collect()}
+    assert got == {("plain", "memory_safety"), ("plain", "thread_safety"), ("fixed", "memory_safety"), ("fixed", "thread_safety"), ("fixed", "termination"), ("shared", "memory_safety")}
