@@ -39,3 +39,19 @@ def test_proofs_join_only_lines_that_matter(spark, capsys):
     assert "explode(tokens" not in plan(found, capsys)
     got = {(x.id.rsplit("::", 1)[-1], x.property) for x in found.collect()}
     assert got == {("plain", "memory_safety"), ("plain", "thread_safety"), ("fixed", "memory_safety"), ("fixed", "thread_safety"), ("fixed", "termination"), ("shared", "memory_safety")}
+
+
+def test_entropy_takes_runs_and_not_single_bytes(spark):
+    import math
+    from collections import Counter
+
+    from plumbline.sources import trees
+
+    texts = ["", "a", "aaaa", "ab" * 700, "héé\n\x00\x00\"", "".join(map(chr, range(1, 200))), None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    entropy = trees.byte_entropy(F.col("text"))
+    assert "run" not in str(entropy)  # no state is carried from byte to byte
+    for row in df.select("text", entropy.alias("e")).collect():
+        b = row.text.encode()[:1024] if row.text is not None else b""
+        want = None if row.text is None else math.log2(len(b)) - sum(c * math.log2(c) for c in Counter(b).values()) / len(b) if b else 0.0
+        assert row.e is None if want is None else abs(row.e - want) < 1e-9
