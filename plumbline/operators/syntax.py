@@ -61,7 +61,7 @@ def complexity(lexed: DataFrame) -> DataFrame:
     weight grows by the nesting over one.
     """
     lexed = cut(lexed.filter("language = 'rust'"))
-    rows = cut(_nested(tokens(lexed)))
+    rows = _nested(tokens(lexed))
     t, prev = F.col("t"), F.col("prev")
     operand = F.col("prev_k").isin("i", "l") | prev.isin(")", "]", "}", "?", "self")
     point = (
@@ -72,9 +72,11 @@ def complexity(lexed: DataFrame) -> DataFrame:
         | (t == "!") & (F.col("prev_k") == "i") & F.col("next").isin("(", "[", "{") & ~F.col("prev2").isin("", "{", "}", ";")
         | (t == "async") & F.col("next").isin("{", "move")
     ) & ~F.col("in_macro")
-    found = cut(with_ids(items(lexed)).filter("kind = 'Function' and not declared").select("id", "path", "line", "end"))
+    # of all tokens only points, control expressions and asyncs are written and meet their functions
+    rows = cut(rows.withColumn("point", point).filter(F.col("point") | F.col("control") | (t == "async")).select("path", "line", "t", "next", "point", "control", "nesting"))
+    found = cut(with_ids(items(lexed, stored=True)).filter("kind = 'Function' and not declared").select("id", "path", "line", "end"))
     at = innermost(rows.select("path", "line"), found.select("path", F.col("line").alias("start"), "end"))
-    mine = rows.withColumn("point", point).join(at.select("path", "line", "start"), ["path", "line"]).groupBy("path", F.col("start").alias("line"))
+    mine = rows.join(at.select("path", "line", "start"), ["path", "line"]).groupBy("path", F.col("start").alias("line"))
     weight = F.when(F.col("point"), 1 + F.greatest(F.col("nesting") - 1, F.lit(0))).otherwise(0)
     start = F.max(((t == "async") & (F.col("line") == F.col("start")) & ~F.col("next").isin("{", "move")).cast("int"))
     sums = mine.agg(F.count(F.when(F.col("point"), 1)).alias("points"), F.sum(weight).alias("weight"), F.max(F.when(F.col("control"), F.col("nesting") + 1).otherwise(0)).alias("nesting_max"), start.alias("is_async"))
