@@ -5,9 +5,11 @@ import re
 from pyspark.sql import functions as F
 
 from plumbline.operators import fragments, program, simjoin
+from plumbline.plans import fragment_catalogue
 from plumbline.session import cut
 from plumbline.sources import lexer
 
+SF = "/root/testdata/sf0.001"
 RUST = "static A: i32 = 1;\nfn plain(x: i32) {\n    call(x);\n}\nconst fn fixed() {\n    2;\n}\nfn wild() {\n    unsafe {\n        go();\n    }\n}\nfn shared() {\n    let x = Rc::new(1);\n}\nfn outer() {\n    fn inner() {\n        unsafe { 1 };\n    }\n}\n"
 
 
@@ -21,6 +23,10 @@ def test_similar_sets_send_no_side_to_all(spark, capsys):
     assert "BroadcastHashJoin" not in plan(simjoin.similar_sets(sets, 0.7), capsys)
 
 
+def test_source_files_send_no_orders_to_all(spark, capsys):
+    assert "Broadcast" not in plan(fragment_catalogue.source_files(spark, SF), capsys)
+
+
 def test_fragments_join_no_lines(spark, capsys, monkeypatch):
     body = "\n".join(f"    let a_{k} = b({k}) + c;" for k in range(10))
     text = f"fn one() {{\n{body}\n    fn two() {{\n{body}\n    }}\n}}\nfn short() {{\n}}\n"
