@@ -75,10 +75,12 @@ def outside_tests(lines: DataFrame, mark: str = "#[cfg(test)]") -> DataFrame:
     """
     t = F.regexp_replace("text", r"^\s+|\s+$", "")
     braces = lambda b: F.length(t) - F.length(F.replace(t, F.lit(b), F.lit("")))
-    rows = lines.withColumn("_opens", t.startswith(mark))
-    rows = rows.withColumn("_block", F.count(F.when(F.col("_opens"), 1)).over(Window.partitionBy("path").orderBy("line")))
-    w = Window.partitionBy("path", "_block").orderBy("line")
-    rows = rows.withColumn("_sum", F.sum(F.when(F.col("_opens"), 0).otherwise(braces("{") - braces("}"))).over(w))
-    rows = rows.withColumn("_ends", ~F.col("_opens") & t.endswith("}") & (F.col("_sum") <= F.least(F.lit(0), F.min("_sum").over(w))))
-    rows = rows.withColumn("_ended", F.max("_ends").over(w))
-    return rows.filter((F.col("_block") == 0) | F.col("_ended")).select(*lines.columns)
+    # a line is dealt with one number, null for a mark, else its braces doubled, odd if it ends by a closing one; its text only if asked for
+    rows = lines.withColumn("_code", F.when(~t.startswith(mark), 2 * (braces("{") - braces("}")) + t.endswith("}").cast("int")))
+    opens, w = F.col("_code").isNull(), Window.partitionBy("path").orderBy("line")
+    rows = rows.withColumn("_block", F.count(F.when(opens, 1)).over(w)).withColumn("_all", F.coalesce(F.sum(F.shiftright("_code", 1)).over(w), F.lit(0)))
+    # each block counts from far below the one before, so the least so far is the block's own and a file is sorted once
+    rows = rows.withColumn("_sum", F.col("_all") - F.last(F.when(opens, F.col("_all")), True).over(w) - F.col("_block") * F.lit(1 << 40))
+    ends = (F.col("_code") % 2 != 0) & (F.col("_sum") <= F.min("_sum").over(w))
+    rows = rows.withColumn("_ends", F.when(ends, F.col("_block"))).withColumn("_ended", F.max("_ends").over(w))
+    return rows.filter((F.col("_block") == 0) | (F.col("_ended") == F.col("_block"))).select(*lines.columns)

@@ -4,10 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import fragments, program, simjoin
-from plumbline.plans import fragment_catalogue
+from plumbline.operators import blame, fragments, graphs, makeexpand, program, ranges, simjoin
+from plumbline.plans import fragment_catalogue, history_catalogue
 from plumbline.session import cut
 from plumbline.sources import lexer
+from plumbline.streaming.incremental import ChurnStore
 
 SF = "/root/testdata/sf0.001"
 RUST = "static A: i32 = 1;\nfn plain(x: i32) {\n    call(x);\n}\nconst fn fixed() {\n    2;\n}\nfn wild() {\n    unsafe {\n        go();\n    }\n}\nfn shared() {\n    let x = Rc::new(1);\n}\nfn outer() {\n    fn inner() {\n        unsafe { 1 };\n    }\n}\n"
@@ -61,3 +62,28 @@ def test_entropy_takes_runs_and_not_single_bytes(spark):
         b = row.text.encode()[:1024] if row.text is not None else b""
         want = None if row.text is None else math.log2(len(b)) - sum(c * math.log2(c) for c in Counter(b).values()) / len(b) if b else 0.0
         assert row.e is None if want is None else abs(row.e - want) < 1e-9
+
+
+def test_lines_of_tests_are_sorted_once_without_their_texts(spark, capsys):
+    import random
+
+    from plumbline.operators.gates import outside_tests
+
+    draw = random.Random(5)
+    files = {f: [draw.choice(["#[cfg(test)]", "{", "}", "} {", "x }", "{ }", "a", "{ {", "} }", " #[cfg(test)] }"]) for _ in range(40)] for f in range(40)}
+    want = set()
+    for f, lines in files.items():
+        inside, depth = False, 0
+        for k, t in enumerate(lines, 1):
+            if t.strip().startswith("#[cfg(test)]"):
+                inside, depth = True, 0
+            elif inside:
+                depth = max(0, depth + t.count("{") - t.count("}"))
+                inside = not (depth == 0 and t.strip().endswith("}"))
+            if not inside:
+                want.add((f, k))
+    rows = cut(spark.createDataFrame([(f, k, t) for f, lines in files.items() for k, t in enumerate(lines, 1)], "path int, line int, text string"))
+    found = outside_tests(rows).select("path", "line")
+    said = plan(found, capsys)
+    assert said.count(" Sort [") == 1
+    assert {tuple(r) for r in found.collect()} == want
