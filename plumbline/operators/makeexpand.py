@@ -9,6 +9,8 @@ Each round is a join on (path, name).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,37 +56,54 @@ def modified(value: Column, modifier: Column) -> Column:
     )
 
 
-def _substituted(texts: DataFrame, keys: list[str], known: DataFrame, defined: DataFrame) -> DataFrame:
-    """texts(keys, text) after one round: references to known or undefined variables are put in, others stay."""
+def _substituted(texts: DataFrame, keys: list[str], values: DataFrame, builtin: tuple[str, ...] = (), *, all_named: bool = True) -> DataFrame:
+    """texts(keys, text) after one round, and ``odd``: whether putting values in has made references that were not there.
+
+    values(path, name, known): references to names of a known value are put
+    in, those to names of none stay. If the values name all there is,
+    references to other names are put in as empty, built-in ones by their
+    names; else they stay too.
+    """
     pieces = texts.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("k", "piece"))
-    inner = F.when(F.col("piece").rlike(r"^\$[({]"), F.expr("substring(piece, 3, length(piece) - 3)")).when(F.col("piece").rlike("^\\$[A-Za-z]$"), F.expr("substring(piece, 2)"))
-    pieces = pieces.withColumn("inner", inner).withColumn("of", F.regexp_extract("inner", r"^([^:]*)", 1)).withColumn("modifier", F.regexp_extract("inner", r"^[^:]*(.*)$", 1))
-    met = pieces.join(known.select("path", F.col("name").alias("of"), F.col("value").alias("known")), ["path", "of"], "left").join(defined.select("path", F.col("name").alias("of"), F.lit(True).alias("defined")), ["path", "of"], "left")
-    value = F.when(F.col("inner").isNull(), F.col("piece")).when(F.col("known").isNotNull(), modified(F.col("known"), F.col("modifier"))).when(F.col("defined"), F.col("piece")).otherwise(modified(F.lit(""), F.col("modifier")))
-    together = met.withColumn("value", value).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("x"))
-    return together.select(*keys, F.array_join("x.value", "").alias("text"))
+    inside = F.when(F.col("piece").rlike(r"^\$[({]"), F.expr("substring(piece, 3, length(piece) - 3)")).when(F.col("piece").rlike("^\\$[A-Za-z]$"), F.expr("substring(piece, 2)"))
+    pieces = pieces.withColumn("of", F.regexp_extract(inside, r"^([^:]*)", 1))
+    met = pieces.join(values.select("path", F.col("name").alias("of"), "known", F.lit(True).alias("defined")), ["path", "of"], "left")
+    met = met.withColumn("modifier", F.regexp_extract(inside, r"^[^:]*(.*)$", 1))
+    # a built-in's value is not known here: its name stays
+    other = F.when(F.col("of").isin(*builtin), modified(F.concat(F.lit(DOLLAR + "("), "of", F.lit(")")), F.col("modifier"))).otherwise(modified(F.lit(""), F.col("modifier"))) if all_named else F.col("piece")
+    value = F.when(F.col("of").isNull(), F.col("piece")).when(F.col("known").isNotNull(), modified(F.col("known"), F.col("modifier"))).when(F.col("defined"), F.col("piece")).otherwise(other)
+    stays = F.col("of").isNotNull() & (F.col("known").isNull() & F.col("defined").isNotNull() if all_named else F.col("known").isNull())
+    together = met.select(*keys, "k", value.alias("value"), stays.alias("stays")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "value", "stays"))).alias("x"))
+    new = together.select(*keys, F.array_join("x.value", "").alias("text"), F.filter("x", lambda p: p["stays"])["value"].alias("_left"))
+    return new.select(*keys, "text", (F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)) != F.col("_left")).alias("odd"))
 
 
 def expanded(defined: DataFrame, builtin: tuple[str, ...] = BUILTIN) -> DataFrame:
     """(path, name, value, circular) of definitions(path, name, value): whole values, ``$$`` as ``$``; circular ones as far as they go.
 
     What is neither defined nor built in is empty, but for a default of its own.
+    A value that is known is written once. After the first round only values
+    that have just become known are joined, to what is still open; all are, if
+    a reference has come up that no text had before.
     """
-    names = defined.select("path", "name").distinct()
-    builtins = names.select("path").distinct().withColumn("name", F.explode(F.array(*[F.lit(b) for b in builtin]))).join(names, ["path", "name"], "left_anti")
-    rows = cut(defined.select("path", "name", F.replace("value", F.lit("$$"), F.lit(DOLLAR)).alias("text")))
-    every = cut(names.unionByName(builtins))
     is_open = F.col("text").rlike(REFERENCE)
+    flagged = lambda df: df.select("path", "name", "text", is_open.alias("open"), "odd")
+    now = cut(flagged(defined.select("path", "name", F.replace("value", F.lit("$$"), F.lit(DOLLAR)).alias("text"), F.lit(False).alias("odd"))))
+    known, fresh, first = [], now.filter("not open"), True
     while True:
-        known = rows.filter(~is_open).select("path", "name", F.col("text").alias("value"))
-        # a built-in's value is not known here: its name stays
-        known = known.unionByName(builtins.select("path", "name", F.concat(F.lit(DOLLAR + "("), "name", F.lit(")")).alias("value")))
-        new = _substituted(rows.filter(is_open), ["path", "name"], known, every)
-        after = cut(rows.filter(~is_open).unionByName(new))
-        if not after.join(rows, ["path", "name", "text"], "left_anti").limit(1).count():
+        known.append(fresh)
+        rows = now.filter("open")
+        every = first or bool(rows.filter("odd").limit(1).count())
+        if not every and not fresh.limit(1).count():
             break
-        rows = after
-    return rows.select("path", "name", F.replace("text", F.lit(DOLLAR), F.lit("$")).alias("value"), is_open.alias("circular"))
+        said = fresh
+        if every:
+            said = reduce(DataFrame.unionByName, known).unionByName(rows)
+        values = said.select("path", "name", F.when(~F.col("open"), F.col("text")).alias("known"))
+        now = cut(flagged(_substituted(rows.select("path", "name", "text"), ["path", "name"], values, builtin, all_named=every)))
+        fresh, first = now.filter("not open"), False
+    out = reduce(DataFrame.unionByName, known).unionByName(rows)
+    return out.select("path", "name", F.replace("text", F.lit(DOLLAR), F.lit("$")).alias("value"), F.col("open").alias("circular"))
 
 
 def expanded_texts(texts: DataFrame, values: DataFrame, rounds: int = 8) -> DataFrame:
@@ -93,11 +112,10 @@ def expanded_texts(texts: DataFrame, values: DataFrame, rounds: int = 8) -> Data
     ``$@`` is the target, ``$<`` the first prerequisite, ``$^`` each once,
     ``$+`` all, ``$*`` the target without its ending. Nested names take a round each.
     """
-    known = values.filter("not circular").select("path", "name", F.replace("value", F.lit("$"), F.lit(DOLLAR)).alias("value"))
-    named = cut(values.select("path", "name"))
+    known = cut(values.select("path", "name", F.when(~F.col("circular"), F.replace("value", F.lit("$"), F.lit(DOLLAR))).alias("known")))
     now = texts.select("path", "id", F.replace("text", F.lit("$$"), F.lit(DOLLAR)).alias("text"))
     for _ in range(rounds):
-        now = cut(now.filter(~F.col("text").rlike(REFERENCE)).unionByName(_substituted(now.filter(F.col("text").rlike(REFERENCE)), ["path", "id"], known, named)))
+        now = cut(now.filter(~F.col("text").rlike(REFERENCE)).unionByName(_substituted(now.filter(F.col("text").rlike(REFERENCE)), ["path", "id"], known).drop("odd")))
         if not now.filter(F.col("text").rlike(REFERENCE)).limit(1).count():
             break
     both = now.join(texts.select("path", "id", "target", "prerequisites"), ["path", "id"])

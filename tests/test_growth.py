@@ -87,3 +87,14 @@ def test_lines_of_tests_are_sorted_once_without_their_texts(spark, capsys):
     said = plan(found, capsys)
     assert said.count(" Sort [") == 1
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_expansion_writes_known_values_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(makeexpand, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = [("m", f"V{k}", f"$(V{k - 1}) {k}" if k else "0") for k in range(6)] + [("m", "P", "$(V"), ("m", "Q", "$(P)2)"), ("m", "N", "$(V$(V0))"), ("m", "C", "$(C) $(V1)"), ("m", "B", "$(CC) $(NONE)x")]
+    found = {r.name: (r.value, r.circular) for r in makeexpand.expanded(spark.createDataFrame(rows, "path string, name string, value string")).collect()}
+    assert found["V5"] == ("0 1 2 3 4 5", False)
+    assert (found["Q"], found["N"]) == (("0 1 2", False), ("0", False))  # one reference is made of two texts, one has another one in it
+    assert (found["C"], found["B"]) == (("$(C) 0 1", True), ("$(CC) x", False))
+    assert sum(df.filter("name = 'V0'").count() for df in written) == 1
