@@ -89,6 +89,15 @@ def test_lines_of_tests_are_sorted_once_without_their_texts(spark, capsys):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_points_look_into_few_sizes(spark):
+    spans = spark.range(1, 1025).select(F.lit("f").alias("path"), F.lit(5).alias("start"), (F.col("id") + 4).alias("end"))
+    assert ranges._binned(spans).select("_level").distinct().count() <= 6
+    points = spark.range(0, 1100, 7).select(F.lit("f").alias("path"), F.col("id").alias("line"))
+    found = ranges.covering(points, spans)
+    want = points.join(spans, "path").filter("line between start and end")
+    assert sorted(map(tuple, found.select("line", "end").collect())) == sorted(map(tuple, want.select("line", "end").collect()))
+
+
 def test_expansion_writes_known_values_once(spark, monkeypatch):
     written = []
     monkeypatch.setattr(makeexpand, "cut", lambda df: written.append(cut(df)) or written[-1])
