@@ -149,8 +149,13 @@ def betweenness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that a node reaches when directions don't count."""
-    both = cut(edges.select("from", "to").union(edges.select(F.col("to"), F.col("from"))).distinct())
+    """(id, component): the smallest id that a node reaches when directions don't count.
+
+    Repeated edges change nothing; they are not looked for, as a task would
+    have to keep all of its edges in memory.
+    """
+    once = cut(edges.select("from", "to"))
+    both = once.union(once.select("to", "from"))
     label = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
         got = both.join(label, both["from"] == label["id"]).groupBy(F.col("to").alias("id")).agg(F.min("component").alias("low"))

@@ -89,6 +89,15 @@ def test_lines_of_tests_are_sorted_once_without_their_texts(spark, capsys):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_components_keep_no_edges_for_repeats(spark, capsys, monkeypatch):
+    written = []
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(df) or cut(df))
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (4, 3), (3, 3)], "from int, to int")
+    found = graphs.components(spark.createDataFrame([(k,) for k in range(1, 6)], "id int"), edges)
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+    assert "Aggregate" not in plan(written[0], capsys)
+
+
 def test_ages_are_looked_up_once_a_line(spark, monkeypatch):
     asked, line_ages = [], blame.line_ages
     monkeypatch.setattr(blame, "line_ages", lambda points, *rest: asked.append(points) or line_ages(points, *rest))
