@@ -41,7 +41,7 @@ class ChurnStore(_Batches):
     def add(self, commits: DataFrame, batch: int) -> None:
         """A commit's rows for a path that an earlier batch has had are dropped."""
         new = commits.select(F.col("path").cast("string"), F.col("hash").cast("string"), F.col("author").cast("string"), "ts", "additions", "deletions")
-        known = self._read("keys", self.KEYS, batch).select("path", "hash").distinct()
+        known = self._read("keys", self.KEYS, batch).select("path", "hash")
         new = new.join(known, ["path", "hash"], "left_anti").cache()
         try:
             self._write(new.groupBy("path", "hash").agg(F.count("*").alias("rows")), "keys", batch)

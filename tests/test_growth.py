@@ -105,6 +105,16 @@ def test_ages_are_looked_up_once_a_line(spark, monkeypatch):
     assert asked[0].count() == asked[0].select("path", "line").distinct().count()
 
 
+def test_known_commits_are_not_dealt_to_be_told_apart(spark, tmp_path, capsys):
+    store, wrote = ChurnStore(spark, str(tmp_path)), []
+    rows = spark.createDataFrame([("p", k % 3, "a", k, 1) for k in range(9)], "path string, hash int, author string, additions int, deletions int").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    store.add(rows, 0)
+    store._write = lambda df, kind, batch: wrote.append(df)
+    store.add(rows, 1)
+    assert not re.search(r"keys=\[path#\d+, hash#\d+\]", plan(wrote[1], capsys))
+    assert wrote[1].count() == 0
+
+
 def test_points_look_into_few_sizes(spark):
     spans = spark.range(1, 1025).select(F.lit("f").alias("path"), F.lit(5).alias("start"), (F.col("id") + 4).alias("end"))
     assert ranges._binned(spans).select("_level").distinct().count() <= 6
