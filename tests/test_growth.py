@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import blame, fragments, graphs, makeexpand, program, ranges, simjoin
+from plumbline.operators import blame, clones, fragments, graphs, makeexpand, program, ranges, simjoin
 from plumbline.plans import fragment_catalogue, history_catalogue
 from plumbline.session import cut
 from plumbline.sources import lexer
@@ -133,3 +133,12 @@ def test_expansion_writes_known_values_once(spark, monkeypatch):
     assert (found["Q"], found["N"]) == (("0 1 2", False), ("0", False))  # one reference is made of two texts, one has another one in it
     assert (found["C"], found["B"]) == (("$(C) 0 1", True), ("$(CC) x", False))
     assert sum(df.filter("name = 'V0'").count() for df in written) == 1
+
+
+def test_clone_groups_search_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(clones, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = [(k, ("a b c d e f g h i j k l m n o p q r s t u v w x y z " + "end" * (k // 2)).split()) for k in range(4)] + [(9, "1 2 3 4 5 6".split())]
+    groups = clones.clone_groups(spark.createDataFrame(rows, "id int, tokens array<string>"))
+    assert [df.columns for df in written].count(["from", "to"]) == 1
+    assert {tuple(r) for r in groups.collect()} == {(0, 0), (1, 0), (2, 0), (3, 0)}
