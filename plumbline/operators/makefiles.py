@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import graphs
+from plumbline.session import cut
 
 # fixed values: assignments, references, functions that cost each time they are expanded, variables that always exist
 ASSIGNMENT = r"^([A-Za-z_][A-Za-z0-9_.-]*)\s*(:=|\?=|\+=|!=|=)\s*(.*)$"
@@ -31,13 +32,17 @@ def names_in(text: Column) -> Column:
 
 
 def costly(assigned: DataFrame) -> DataFrame:
-    """(path, name) of the deferred variables that call a costly function, themselves or through others."""
+    """(path, name) of the deferred variables that call a costly function, themselves or through others.
+
+    ``assigned`` may have what its values refer to as ``names``.
+    """
     node = lambda name: F.struct("path", F.col(name).alias("name"))
     deferred = assigned.filter("operator = '='")
     calls = F.lit(False)
     for part in COSTLY:
         calls = calls | F.col("value").contains(part)
-    uses = deferred.select("path", "name", F.explode(F.array_distinct(names_in(F.col("value")))).alias("used"))
+    names = F.col("names") if "names" in assigned.columns else names_in(F.col("value"))
+    uses = deferred.select("path", "name", F.explode(F.array_distinct(names)).alias("used"))
     nodes = deferred.select(node("name").alias("id")).distinct()
     edges = uses.select(node("used").alias("from"), node("name").alias("to"))
     entries = deferred.filter(calls).select(node("name").alias("id")).distinct()
@@ -46,12 +51,16 @@ def costly(assigned: DataFrame) -> DataFrame:
 
 def violations(lines: DataFrame) -> DataFrame:
     """(path, line, rule, severity, name) by four rules; phony targets and long bodies are found on parsed rules."""
-    assigned = variables(lines)
+    # each line is matched once; a recipe starts with a tab, so it is no assignment
+    recipe, part = F.col("text").startswith("\t"), lambda k: F.regexp_extract("text", ASSIGNMENT, k)
+    parsed = lines.filter(recipe | F.col("text").rlike(ASSIGNMENT)).select("path", "line", "text", F.when(~recipe, F.struct(part(1).alias("name"), part(2).alias("operator"), part(3).alias("value"))).alias("a"))
+    read = cut(parsed.select("path", "line", "a.*", names_in(F.coalesce("a.value", "text")).alias("names")))
+    assigned = read.filter(F.col("name").isNotNull())
     row = lambda df, rule, severity: df.select("path", "line", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "name")
     dated = assigned.filter((F.col("operator") == ":=") & (F.col("value").contains("$(shell date") | F.col("value").contains("$(date")))
-    used = assigned.select("path", "line", F.explode(names_in(F.col("value"))).alias("name")).union(recipes(lines).select("path", "line", F.explode(names_in(F.col("text"))).alias("name")))
-    undefined = used.filter(~F.col("name").isin(*BUILTIN)).join(assigned.select("path", "name").distinct(), ["path", "name"], "left_anti")
-    again = recipes(lines).select("path", "line", F.explode(names_in(F.col("text"))).alias("name")).groupBy("path", "line", "name").agg(F.count("*").alias("n")).filter("n > 1")
+    used = read.select("path", "line", F.explode("names").alias("name"))
+    undefined = used.filter(~F.col("name").isin(*BUILTIN)).join(assigned.select("path", "name"), ["path", "name"], "left_anti")
+    again = read.filter(F.col("name").isNull()).select("path", "line", F.explode("names").alias("name")).groupBy("path", "line", "name").agg(F.count("*").alias("n")).filter("n > 1")
     return (
         row(dated, "timestampexpanded", "info")
         .union(row(undefined, "undefinedvariable", "warning"))

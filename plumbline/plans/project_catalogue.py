@@ -157,5 +157,7 @@ UNION ALL SELECT path, line, 'undefinedvariable', 'warning', name FROM u WHERE n
 UNION ALL SELECT path, line, 'portability', 'info', name FROM a WHERE op IN ('?=', '!=')
 UNION ALL SELECT u.path, line, 'recursive-expansion', 'performance', u.name FROM u JOIN slow ON slow.path = u.path AND slow.name = u.name WHERE recipe GROUP BY u.path, line, u.name HAVING count(*) > 1""")
 def makefile_variables(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.posexplode(F.array(*[F.expr(x) for x in MAKEFILE])).alias("at", "text"))
+    # the table is one small file: it is dealt before its rows become eight lines each, which one task would match otherwise
+    parts = table(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    rows = parts.select(F.col("p_partkey").alias("path"), F.posexplode(F.array(*[F.expr(x) for x in MAKEFILE])).alias("at", "text"))
     return makefiles.violations(rows.select("path", (F.col("at") + 1).alias("line"), "text"))

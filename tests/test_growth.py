@@ -142,3 +142,21 @@ def test_clone_groups_search_once(spark, monkeypatch):
     groups = clones.clone_groups(spark.createDataFrame(rows, "id int, tokens array<string>"))
     assert [df.columns for df in written].count(["from", "to"]) == 1
     assert {tuple(r) for r in groups.collect()} == {(0, 0), (1, 0), (2, 0), (3, 0)}
+
+
+def test_makefile_lines_are_matched_once(spark, capsys):
+    from plumbline.operators import makefiles
+
+    rows = [("m", 1, "A = $(shell ls)"), ("m", 2, "B = $(A)"), ("m", 3, "all: $(B)"), ("m", 4, "\techo $(B) ${B} $(E)"), ("n", 1, "\techo $(A)"), ("n", 2, None)]
+    lines = spark.createDataFrame(rows, "path string, line int, text string")
+    found = makefiles.violations(lines)
+    assert not re.search("(?i)rlike|regexp_extract", plan(found, capsys))
+    assert {(r.path, r.line, r.rule, r.name) for r in found.collect()} == {("m", 4, "undefinedvariable", "E"), ("m", 4, "recursive-expansion", "B"), ("n", 1, "undefinedvariable", "A")}
+
+
+def test_reachable_reads_its_edges_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(df.columns) or cut(df))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(6, 2), (8, 9)], "`from` long, `to` long")
+    assert {r.id for r in graphs.reachable(spark.range(12), edges, spark.createDataFrame([(1,), (77,)], "id long")).collect()} == {1, 2, 3, 4, 5, 6}
+    assert written.count(["from", "to"]) == 1
