@@ -130,14 +130,30 @@ class Model:
     def __init__(self, weights: dict[str, np.ndarray], bias: np.ndarray, temperature: float, cut: float):
         self.weights, self.bias, self.temperature, self.cut = weights, bias, temperature, cut
         self.known = frozenset(g for g in weights if " " not in g)
+        self.vocabulary = frozenset(w for g in weights for w in g.split(" "))
         self.templates = {f: [frozenset(grams(words_in(t))) for t in ts] for f, ts in TEMPLATES.items()}
 
+    def features(self, words: list[str]) -> list[str]:
+        """The different n-grams that have a weight, by place. Only runs of the templates' words are looked at."""
+        vocabulary, weights, found = self.vocabulary, self.weights, {}
+        two = one = None  # the words before, where they are the templates'
+        for w in words:
+            if w not in vocabulary:
+                two = one = None
+                continue
+            for g in (w, one and f"{one} {w}", two and f"{two} {one} {w}"):
+                if g in weights:
+                    found[g] = None
+            two, one = one, w
+        return list(found)
+
     def probabilities(self, words: list[str]) -> np.ndarray:
+        return self._softmax(self.features(words))
+
+    def _softmax(self, features: list[str]) -> np.ndarray:
         z = self.bias.copy()
-        for g in set(grams(words)):
-            w = self.weights.get(g)
-            if w is not None:
-                z += w
+        for g in features:
+            z += self.weights[g]
         z = z / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
@@ -148,14 +164,18 @@ class Model:
 
     def predict(self, paragraph: str) -> tuple[str, float, float]:
         """(family or unknown, probability, likeness to the family's nearest template)."""
-        words = words_in(paragraph)
+        return self.judged(words_in(paragraph))
+
+    def judged(self, words: list[str]) -> tuple[str, float, float]:
+        """``predict`` of a paragraph that is cut into words."""
         if self.known.isdisjoint(words):
             return UNKNOWN, 1.0, 0.0
-        p = self.probabilities(words)
+        features = self.features(words)
+        p = self._softmax(features)
         k = int(p.argmax())
         if FAMILIES[k] == UNKNOWN or p[k] < self.cut:
             return UNKNOWN, float(p[-1]), 0.0
-        mine = set(grams(words))
+        mine = frozenset(features)  # a template's n-grams all have a weight
         return FAMILIES[k], float(p[k]), max(len(t & mine) / len(t) for t in self.templates[FAMILIES[k]])
 
 
@@ -220,19 +240,29 @@ def findings(model: Model, text: str, confirm: float, wrap: int = WRAP):
     """(first line, start, end, family, probability, likeness) of every predicted notice of one text."""
     lines = text.split("\n")
     starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]).tolist()
+    cut: dict[int, list[str]] = {}
+
+    def words_of(k: int) -> list[str]:
+        if k not in cut:
+            cut[k] = words_in(lines[k])
+        return cut[k]
+
     n = 0
     while n < len(lines):
-        family, p, like = model.predict(lines[n])
-        upto = n + 1
-        if not (family != UNKNOWN and like >= confirm) and model.speaks(lines[n]):
+        words, upto = words_of(n), n + 1
+        family, p, like = model.judged(words)
+        if not (family != UNKNOWN and like >= confirm) and not model.known.isdisjoint(words):
             for m in range(n + 2, min(n + wrap, len(lines)) + 1):
                 if not lines[m - 1].strip():
                     break
-                wider = model.predict(" ".join(lines[n:m]))
+                words = words + words_of(m - 1)
+                wider = model.judged(words)
                 if wider[0] != UNKNOWN and wider[2] >= confirm and (wider[2], wider[1]) > (like, p if family != UNKNOWN else 0.0):
                     (family, p, like), upto = wider, m
         if family != UNKNOWN:
             yield n, starts[n], starts[upto] - 1, family, p, like
+        for k in range(n, upto):
+            del cut[k]
         n = upto
 
 

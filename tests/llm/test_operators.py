@@ -471,3 +471,17 @@ def test_ledger_scans_new_blobs_only(spark, docs, tmp_path):
     ledger.commit("three", docs, rule_version="other")
     assert ledger.findings().filter("rule_version = 'other'").count() == ledger.findings().filter("rule_version <> 'other'").count()
     assert ledger.report(docs).count() == docs.count()
+
+
+def test_license_features_come_from_runs_of_known_words(monkeypatch):
+    from plumbline.llm import licenses
+
+    model = licenses.fit(["plain words of no licence at all", "more plain words", "and some others here"] * 20, rounds=20)
+    lines = ["x y licensed under the MIT", "license. z " + "filler " * 50, "", "All rights reserved. the", "the of and", "GNU General Public License version 3 Creative Commons", "under CC0"]
+    for text in [*lines, " ".join(lines[:2]), ""]:
+        words = licenses.words_in(text)
+        assert sorted(model.features(words)) == sorted({g for g in licenses.grams(words) if g in model.weights})
+    want = [model.predict(" ".join(lines[a:b])) for a, b in ((0, 1), (0, 2), (3, 4))]
+    monkeypatch.setattr(licenses, "grams", None)  # not asked for all n-grams of a text
+    assert [model.predict(" ".join(lines[a:b])) for a, b in ((0, 1), (0, 2), (3, 4))] == want
+    assert all(start <= end for _, start, end, *_ in licenses.findings(model, "\n".join(lines), 0.5))
