@@ -1 +1,11 @@
+"""Operators from DataFrames to DataFrames.
 
+Functions that run in Python workers are shipped by value, so executors need
+no copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
